@@ -7,6 +7,7 @@ import importlib
 _WHERE = {
     "op2_mixing": "mixing",
     "op3_line_dedup": "line_dedup",
+    "op7_token_blocks": "token_blocks",
 }
 
 

@@ -1,0 +1,62 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from gridloom.llm import token_blocks as tb
+
+
+@pytest.mark.parametrize("ids", [[5], [7] * 1024, [0, 2**32 - 1], list(range(3000)), [1] * 500 + [49407] + [2] * 600, [0]])
+def test_blocks_round_trip(ids):
+    ids = np.array(ids, np.uint32)
+    for k in range(0, len(ids), tb.BLOCK):
+        part = ids[k : k + tb.BLOCK]
+        assert (tb.unpack_block(tb.pack_block(part)) == part).all()
+
+
+def test_outliers_do_not_widen_a_block():
+    ids = np.array([3] * 1000 + [2**31], np.uint32)
+    assert len(tb.pack_block(ids)) < 40
+
+
+def test_segment_round_trip_and_index():
+    rng = np.random.default_rng(3)
+    counts = [1, 5000, 1, 300, 1024]
+    ids = rng.integers(0, 49408, sum(counts)).astype(np.uint32)
+    data = tb.pack_segment([3, 4, 4, 9, 11], counts, ids)
+    doc_ids, got, back = tb.unpack_segment(data)
+    assert doc_ids.tolist() == [3, 4, 4, 9, 11] and got.tolist() == counts and (back == ids).all()
+    ends = np.cumsum(counts)
+    for k, (e, n) in enumerate(zip(ends, counts)):
+        assert (tb.tokens_of(data, k) == ids[e - n : e]).all()
+
+
+TEXTS = ["", None, "Hello world's  42nd\tday\n\nof ÉCOLE, naïve <|endoftext|>x<|startoftext|> ok", "ab" * 9000, "a\x00b c", "İstanbul ΣΑΣ ǅ é ﬁ  x y \x1c q\x85z", "it's they'RE 'S'T''d", "!!! ... a-b_c 1234", "  \n ", "́ a ́b"]
+
+
+def test_chunks_give_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    path = tb.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    for got, text in zip(tb.ChunkEncoder(path).encode(TEXTS), TEXTS):
+        assert got.tolist() == whole.encode(text or "", add_special_tokens=False).ids + [1], text
+
+
+def test_write_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([(i * 7 - 3, TEXTS[i % len(TEXTS)], i) for i in range(57)] + [(4, "twice", 0), (4, "twice", 0), (None, "no id", 0)], "doc_id long, text string, part int").repartition(5)
+    path = str(tmp_path / "segments")
+    tb.write_segments(docs, path, tb.tokenizer_path(), segment_ids=100)
+    got = tb.read_documents(spark, path).collect()
+    texts = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+    assert len(got) == len(texts)
+    enc, at = tb.ChunkEncoder(tb.tokenizer_path()), 0
+    got.sort(key=lambda r: r.start)
+    for r, (known, i, text) in zip(got, texts):
+        ids = enc.encode([text])[0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i if known else None, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+        at += len(ids)
+    assert tb.read_tokens(spark, path).count() == len(texts)
+    empty = str(tmp_path / "empty")
+    tb.write_segments(docs.limit(0), empty, tb.tokenizer_path())
+    assert tb.read_documents(spark, empty).count() == 0
