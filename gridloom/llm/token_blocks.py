@@ -28,8 +28,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import ensure_checkpoint_dir, partitions, table
+from gridloom.llm.textcodes import _power_tables, mix
 
 END_ID = 1
 BLOCK = 1024
@@ -80,8 +79,52 @@ def unpack_block(data: bytes | memoryview) -> np.ndarray:
     return (out + np.uint64(low)).astype(np.uint32)
 
 
-def pack_segment(doc_ids: list[int], counts: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
-    blocks = [pack_block(ids[k : k + block]) for k in range(0, len(ids), block)]
+def pack_blocks(ids: np.ndarray, block: int, percentile: float = PERCENTILE) -> list[bytes]:
+    """``pack_block`` of each full block and of the rest, those of one width together."""
+    full = len(ids) // block
+    out: list = [None] * full
+    grid = ids[: full * block].reshape(full, block)
+    low = grid.min(1) if full else np.empty(0, np.uint32)
+    rest = grid - low[:, None]
+    nth = min(block - 1, int(np.ceil((block - 1) * percentile / 100)))
+    widths = np.array([int(x).bit_length() for x in np.partition(rest, nth, axis=1)[:, nth]]) if full else np.empty(0, int)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        part = rest[rows]
+        bits = np.unpackbits(part.astype("<u4").view(np.uint8).reshape(len(rows), block, 4), axis=2, bitorder="little")[:, :, :width]
+        packed = np.packbits(bits.reshape(len(rows), block * width), axis=1, bitorder="little")
+        high = part >> np.uint32(width) if width < 32 else np.zeros_like(part)
+        for k, row, codes, over in zip(rows.tolist(), high, packed, high.astype(bool)):
+            at = np.flatnonzero(over)
+            out[k] = struct.pack("<IBHH", int(low[k]), width, len(at), block - 1) + codes.tobytes() + at.astype("<u2").tobytes() + row[at].astype("<u4").tobytes()
+    return out + ([pack_block(ids[full * block :], percentile)] if len(ids) > full * block else [])
+
+
+def unpack_blocks(view: memoryview, index: np.ndarray) -> np.ndarray:
+    """All ids of the blocks that begin at ``index[:-1]``; those of one size and width together."""
+    heads = [struct.unpack_from("<IBHH", view, a) for a in index[:-1].tolist()]
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (_, width, _, n) in enumerate(heads):
+        groups.setdefault((width, n + 1), []).append(k)
+    parts: list = [None] * len(heads)
+    head = struct.calcsize("<IBHH")
+    for (width, n), rows in groups.items():
+        size = (n * width + 7) // 8
+        codes = np.frombuffer(b"".join(bytes(view[index[k] + head : index[k] + head + size]) for k in rows), np.uint8).reshape(len(rows), size)
+        wide = np.zeros((len(rows), n, 32), np.uint8)
+        wide[:, :, :width] = np.unpackbits(codes, axis=1, bitorder="little", count=n * width).reshape(len(rows), n, width)
+        values = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0].astype(np.uint32)
+        for j, k in enumerate(rows):
+            low, _, n_over, _ = heads[k]
+            at = int(index[k]) + head + size
+            over = np.frombuffer(view, "<u2", n_over, at)
+            values[j][over] |= np.frombuffer(view, "<u4", n_over, at + 2 * n_over).astype(np.uint32) << np.uint32(width)
+            parts[k] = values[j] + np.uint32(low)
+    return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+
+
+def pack_segment(doc_ids, counts, ids: np.ndarray, block: int = BLOCK) -> bytes:
+    blocks = pack_blocks(ids, block)
     index = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     head = MAGIC + struct.pack("<III", len(doc_ids), len(blocks), block)
     return b"".join([head, np.asarray(doc_ids, "<i8").tobytes(), np.asarray(counts, "<u8").tobytes(), index.tobytes(), *blocks])
@@ -101,8 +144,7 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(document ids, tokens of each, all ids)``."""
     doc_ids, counts, index, at, _ = segment_head(data)
     view = memoryview(data)
-    parts = [unpack_block(view[at + a : at + b]) for a, b in itertools.pairwise(index)]
-    return doc_ids, counts, np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    return doc_ids, counts, unpack_blocks(view, index + at)
 
 
 def tokens_of(data: bytes, k: int) -> np.ndarray:
@@ -119,82 +161,127 @@ def tokens_of(data: bytes, k: int) -> np.ndarray:
 # --- texts to ids
 
 
-class ChunkEncoder:
-    """Ids of texts by a public tokenizer, each distinct chunk between blanks encoded once.
+class PieceEncoder:
+    """Ids of texts by a public tokenizer, each distinct piece encoded once.
 
-    The tokenizer lower-cases and takes runs of letters, single digits and runs of other
-    signs, none of which reaches over white space; so a text's ids are those of its chunks
-    in a row. Chunks of ASCII are taken apart further, into the same pieces. Both stores
-    are emptied when full, which costs time only.
+    The tokenizer lower-cases, drops white space and takes runs of letters, single digits
+    and runs of other signs, none of which depends on its neighbours. So pieces are cut in
+    numpy, told apart by a 64-bit hash, and only new ones go to the library. That covers
+    ASCII and the letters of U+00C0 to U+00FF; a chunk between blanks that has any other
+    character, a contraction or a special token's opening goes to the library whole. The
+    store is emptied when full, which costs time only.
     """
 
-    CHUNKS, PIECES = 400_000, 600_000
+    PIECES = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        # what the tokenizer's own pattern gives on lower-case ASCII
-        self.pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-        # white space for Python but not for the tokenizer
-        self.controls = re.compile("[\x1c-\x1f]")
-
-    def _chunks(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        return re.split("[ \t-\r]+", text) if self.controls.search(text) else text.split()
-
-    def _encode(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, fresh: set[str]) -> None:
-        if len(self.chunks) + len(fresh) > self.CHUNKS:
-            self.chunks.clear()
-        split = {c: self.pattern.findall(c.lower()) for c in fresh if c.isascii() and "<|" not in c}
-        odd = [c for c in fresh if c not in split]
-        missing = {p for ps in split.values() for p in ps if p not in self.pieces}
-        if len(self.pieces) + len(missing) > self.PIECES:
-            self.pieces.clear()
-            missing = {p for ps in split.values() for p in ps}
-        ordered = list(missing)
-        self.pieces.update(zip(ordered, self._encode(ordered), strict=True))
-        for c, ps in split.items():
-            self.chunks[c] = np.array([i for p in ps for i in self.pieces[p]], np.uint32)
-        self.chunks.update(zip(odd, (np.array(x, np.uint32) for x in self._encode(odd)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, end id last."""
-        split = [self._chunks(t) for t in texts]
-        distinct = set(itertools.chain.from_iterable(split))
-        distinct.discard("")
-        fresh = {c for c in distinct if c not in self.chunks}
-        if fresh:
-            if len(self.chunks) + len(fresh) > self.CHUNKS:
-                fresh = distinct
-            self._learn(fresh)
-        number = {c: k + 1 for k, c in enumerate(distinct)}
-        arrays = [np.empty(0, np.uint32), *(self.chunks[c] for c in distinct), np.array([END_ID], np.uint32)]
-        number[""], end = 0, len(arrays) - 1
-        flat, sizes = np.concatenate(arrays), np.array([len(a) for a in arrays])
-        begin = np.cumsum(sizes) - sizes
-        get = number.__getitem__
-        out = []
-        for words in split:
-            at = np.fromiter(itertools.chain(map(get, words), (end,)), np.int64, len(words) + 1)
-            n = sizes[at]
-            total = np.cumsum(n)
-            out.append(flat[np.arange(total[-1]) + np.repeat(begin[at] - (total - n), n)])
-        return out
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def _encoder(path: str) -> ChunkEncoder:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.flat, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str], odd: np.ndarray) -> None:
+        """Encode new pieces: plain ones in one go, cut after each end of a word; odd chunks each by itself."""
+        ids, sizes = [self.flat], np.empty(len(pieces), np.int64)
+        plain = [x for x, o in zip(pieces, odd) if not o]
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        if plain:
+            found = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[found]) + 1
+            if len(ends) != len(plain):
+                raise ValueError("the tokenizer did not keep pieces apart")
+            ids.append(found)
+            sizes[: len(plain)] = np.diff(ends, prepend=0)
+        if len(plain) < len(pieces):
+            more = [e.ids for e in self.tokenizer.encode_batch_fast([x for x, o in zip(pieces, odd) if o], add_special_tokens=False)]
+            sizes[len(plain) :] = [len(x) for x in more]
+            ids.append(np.array([i for x in more for i in x], np.uint32))
+        slots = len(self.size) + np.arange(len(pieces))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size, self.flat = np.concatenate([self.size, sizes]), np.concatenate(ids)
+        keys, slots = np.concatenate([self.keys, keys[order]]), np.concatenate([self.slots, slots])
+        by = np.argsort(keys)
+        self.keys, self.slots = keys[by], slots[by]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, an end id after each text; and how many each text has."""
+        parts = [(t or "").encode() for t in texts]
+        data = b"\n".join(parts) + b"\n"
+        b = np.frombuffer(data, np.uint8)
+        kind, before, after = _KIND[b], np.concatenate([[10], b[:-1]]), np.concatenate([b[1:], [10]])
+        ink = kind > 0
+        trail = (before == 0xC3) & (b >= 0x80) & (b < 0xC0) & (b != 0x97) & (b != 0xB7)
+        odd = (b >= 0x80) & (b != 0xC3) & ~trail | (b == 39) & (_KIND[after] == 1) | (b == 60) & (after == 124)
+        low = np.where(trail & (b < 0x9F), b + 32, _LOWER[b]).astype(np.uint8)
+        first = ink & (_KIND[before] == 0)
+        start = ink & ((kind != _KIND[before]) | (kind == 2))
+        odd_at = np.flatnonzero(odd)
+        in_odd = np.zeros(len(b) + 1, np.int8)
+        if len(odd_at):
+            begin, end = np.flatnonzero(first), np.flatnonzero(ink & (_KIND[after] == 0)) + 1
+            which = np.unique(np.searchsorted(begin, odd_at, "right") - 1)
+            in_odd[begin[which]] += 1
+            in_odd[end[which]] -= 1
+            in_odd = np.cumsum(in_odd, dtype=np.int8)
+            inside = in_odd[:-1] > 0
+            start &= ~inside | first
+            low = np.where(inside, b, low)
+        starts = np.flatnonzero(start)
+        counts = np.ones(len(texts), np.int64)
+        if not len(starts):
+            return np.full(len(texts), END_ID, np.uint32), counts
+        ends = np.flatnonzero(ink & (np.concatenate([start[1:], [True]]) | (_KIND[after] == 0))) + 1
+        up, down = _power_tables(len(b))
+        value = _PIECE_VALUE[low]
+        value *= up
+        is_odd = in_odd[starts] > 0
+        key = mix(np.add.reduceat(value, starts) * down[starts] + (2 * (ends - starts) + is_odd).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        distinct, at, which = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > self.PIECES:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        fresh = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        if fresh.any():
+            new = at[fresh]
+            self._learn(distinct[fresh], [data[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist())], is_odd[new])
+            place = np.searchsorted(self.keys, distinct)
+        slot = self.slots[place][which]
+        size, begin = self.size[slot], self.begin[slot]
+        bounds = np.cumsum([len(p) + 1 for p in parts])
+        pieces = np.searchsorted(starts, np.concatenate([[0], bounds]))
+        upto = np.concatenate([[0], np.cumsum(size)])
+        counts += upto[pieces[1:]] - upto[pieces[:-1]]
+        out = np.empty(counts.sum(), np.uint32)
+        last = np.cumsum(counts) - 1
+        is_end = np.zeros(len(out), bool)
+        is_end[last] = True
+        out[last] = END_ID
+        out[~is_end] = self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
+        return out, counts
+
+
+_KIND = np.full(256, 3, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 other
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_PIECE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+_PIECE_VALUE[[9, 10, 11, 12, 13, 32]] = 0
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def _encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 
@@ -224,18 +311,18 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", te
         held, counts, ids, total = [], [], [], 0
 
         def out():
-            data = pack_segment(held, counts, np.concatenate(ids))
+            data = pack_segment(held, np.concatenate(counts), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "data"])
 
         for doc_ids, texts in _slices(batches, 1 << 21):
-            for i, found in zip(doc_ids, encoder.encode(texts)):
-                held.append(NULL_ID if i is None else i)
-                counts.append(len(found))
-                ids.append(found)
-                total += len(found)
-                if total >= segment_ids:
-                    yield out()
-                    held, counts, ids, total, seq = [], [], [], 0, seq + 1
+            flat, sizes = encoder.encode(texts)
+            held += [NULL_ID if i is None else i for i in doc_ids]
+            counts.append(sizes)
+            ids.append(flat)
+            total += len(flat)
+            if total >= segment_ids:
+                yield out()
+                held, counts, ids, total, seq = [], [], [], 0, seq + 1
         if held:
             yield out()
 

@@ -1,7 +1,10 @@
+import functools
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from gridloom.llm import token_blocks as tb
 
@@ -39,8 +42,26 @@ def test_chunks_give_the_librarys_ids():
 
     path = tb.tokenizer_path()
     whole = Tokenizer.from_file(path)
-    for got, text in zip(tb.ChunkEncoder(path).encode(TEXTS), TEXTS):
-        assert got.tolist() == whole.encode(text or "", add_special_tokens=False).ids + [1], text
+    encoder = tb.PieceEncoder(path)
+    for _ in range(2):
+        ids, counts = encoder.encode(TEXTS)
+        for got, text in zip(np.split(ids, np.cumsum(counts)[:-1]), TEXTS):
+            assert got.tolist() == whole.encode(text or "", add_special_tokens=False).ids + [1], text
+
+
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n'sSdÀßÿ×é<|1a.Z")), max_size=30), max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_any_text_gets_the_librarys_ids(texts):
+    whole, encoder = _shared()
+    ids, counts = encoder.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in whole.encode(t, add_special_tokens=False).ids + [1]]
+
+
+@functools.cache
+def _shared():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tb.tokenizer_path()), tb.PieceEncoder(tb.tokenizer_path())
 
 
 def test_write_and_read(spark, tmp_path):
@@ -50,10 +71,10 @@ def test_write_and_read(spark, tmp_path):
     got = tb.read_documents(spark, path).collect()
     texts = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
     assert len(got) == len(texts)
-    enc, at = tb.ChunkEncoder(tb.tokenizer_path()), 0
+    enc, at = tb.PieceEncoder(tb.tokenizer_path()), 0
     got.sort(key=lambda r: r.start)
     for r, (known, i, text) in zip(got, texts):
-        ids = enc.encode([text])[0]
+        ids, _ = enc.encode([text])
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i if known else None, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
         at += len(ids)
     assert tb.read_tokens(spark, path).count() == len(texts)
