@@ -5,9 +5,12 @@ from __future__ import annotations
 import importlib
 
 _WHERE = {
+    "op1_language_mixture": "langid",
     "op2_mixing": "mixing",
     "op3_line_dedup": "line_dedup",
     "op7_token_blocks": "token_blocks",
+    "op8_toxicity": "toxicity",
+    "op9_quality": "quality",
 }
 
 
