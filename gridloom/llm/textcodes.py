@@ -18,6 +18,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_MARK = np.ones(256, bool)
+_MARK[48:58] = _MARK[65:91] = _MARK[97:123] = _MARK[128:] = False
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _VALUE = _VALUE[_LOWER]
@@ -80,7 +82,8 @@ class Words:
         return mix(acc[ok]), start
 
 
-def word_batches(texts: list, limit: int = BATCH_BYTES) -> Iterator[Words]:
+def word_batches(texts: list, limit: int = BATCH_BYTES, marks: bool = True) -> Iterator[Words]:
+    """``marks``: whether ASCII punctuation belongs to words; else it separates them."""
     first = 0
     while first < len(texts):
         parts, size, k = [], 0, first
@@ -88,15 +91,15 @@ def word_batches(texts: list, limit: int = BATCH_BYTES) -> Iterator[Words]:
             parts.append((texts[k] or "").encode("utf-8", "surrogatepass"))
             size += len(parts[-1]) + 1
             k += 1
-        yield _words(first, parts)
+        yield _words(first, parts, _BLANK if marks else _MARK)
         first = k
 
 
-def _words(first: int, parts: list[bytes]) -> Words:
+def _words(first: int, parts: list[bytes], apart: np.ndarray) -> Words:
     data = b"\n".join(parts) + b"\n"
     b = np.frombuffer(data, np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-    inside = ~_BLANK[b]
+    inside = ~apart[b]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(b) and inside[0]:
         edge = np.concatenate([[0], edge])
@@ -106,6 +109,8 @@ def _words(first: int, parts: list[bytes]) -> Words:
     up, down = _power_tables(len(b))
     value = _VALUE[b]
     value *= up
+    if apart is not _BLANK:
+        value *= inside
     h = np.add.reduceat(value, begin) * down[begin]
     h = mix(h + (end - begin).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
     return Words(first, h, np.searchsorted(begin, bounds).astype(np.int64), begin, end, data)

@@ -1,6 +1,6 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are present or not: words, pairs of neighbours and pairs one or two words apart,
+Features are present or not: words (without punctuation), pairs of neighbours and pairs one or two words apart,
 hashed into ``2**BITS`` places. FTRL-proximal gives each place its own learning rate and
 sets those without lasting evidence to exactly 0, so the model that executors get is the
 short list of the others. Training goes over a bounded sample of labelled documents
@@ -23,9 +23,9 @@ from gridloom.llm.labelled import labelled_sample
 from gridloom.llm.textcodes import word_batches
 
 BITS = 20
-TRAIN_DOCS = 12_000
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 2.0, 1.0
+TRAIN_DOCS = 16_000
+EPOCHS = 3
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 1.0
 GAPS = (0, 1, 2)
 
 
@@ -73,7 +73,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
         model, seen = FTRL(1 << BITS), []
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            for words in word_batches(batch.column(0).to_pylist()):
+            for words in word_batches(batch.column(0).to_pylist(), marks=False):
                 for at, label in zip(presence(words), labels[words.first : words.first + len(words)]):
                     seen.append((at, label))
                     model.learn(at, label)
@@ -99,7 +99,7 @@ def score(docs: DataFrame, model, *, id_col="doc_id", text_col="text") -> DataFr
             dense[shared.value[0]] = shared.value[1]
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for words in word_batches(texts):
+            for words in word_batches(texts, marks=False):
                 logit = np.zeros(len(words))
                 if shared.value:
                     doc, at = [], []
