@@ -8,6 +8,7 @@ _WHERE = {
     "op1_language_mixture": "langid",
     "op2_mixing": "mixing",
     "op3_line_dedup": "line_dedup",
+    "op5_near_duplicates": "minhash",
     "op7_token_blocks": "token_blocks",
     "op8_toxicity": "toxicity",
     "op9_quality": "quality",
