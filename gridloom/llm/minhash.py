@@ -11,8 +11,10 @@
 5. Survivors are confirmed on the full sets: first the likeliest partner of each member,
    then those that would still join two components.
 6. Buckets whose members still lie in several components are then compared in full across
-   components. Pairs inside one component cannot change it; so no link between components
-   is left out for the size of its bucket.
+   components: small ones pair by pair, large ones (joined into pools where they share a
+   member, so that no pair is met in every band) block against block, from which only new
+   links come out. Pairs inside one component cannot change it; so no link between
+   components is left out for the size of its bucket.
 
 Links are ``100 * intersection >= percent * union``. Cases: null texts and texts without a
 word have an empty set and are linked with nothing; texts of fewer than ``k`` words have
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,9 @@ from gridloom.llm.textcodes import mix, word_batches
 
 SIZE, BANDS, BATCH = 128, 32, 32
 MISS = 1e-6
+#: Buckets of more members are compared block against block, in blocks of at most about so many rows and bytes.
+LARGE = 64
+POOL_ROWS, POOL_BYTES = 256, 1 << 21
 _rng = np.random.Generator(np.random.PCG64(5))
 _XOR = _rng.integers(0, 2**32, SIZE, dtype=np.uint32)
 _MULTIPLY = _rng.integers(0, 2**31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,6 +157,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
+def pooled(pools: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside each pool ``(rep, pool)``, by full sets, block against block.
+
+    A pool's members are dealt to blocks of bounded size; each pair of blocks is a group of
+    its own, which multiplies incidence matrices and returns nothing but new links.
+    """
+    named = pools.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "pool", F.coalesce("component", "rep").alias("c"))
+    full = settle(named.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep"))
+    counts = full.groupBy("pool").agg(F.greatest(F.ceil(F.count(F.lit(1)) / POOL_ROWS), F.ceil(F.sum(F.octet_length("set")) / POOL_BYTES)).cast("int").alias("blocks"))
+    dealt = full.join(counts, "pool").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "set")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = frame.i.iloc[0], frame.j.iloc[0]
+        sides = [frame[frame.block == i], frame[frame.block == j]]
+        flat = [np.concatenate([np.frombuffer(s, np.uint64) for s in side.set]) if len(side) else np.empty(0, np.uint64) for side in sides]
+        sizes = [np.array([len(s) // 8 for s in side.set], np.int64) for side in sides]
+        common = np.intersect1d(*flat)
+        shared = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+        at = [np.minimum(np.searchsorted(common, f), max(len(common) - 1, 0)) for f in flat]
+        row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        for k in range(0, len(common), 4096):  # columns of the incidence matrices, a slice at a time
+            part = []
+            for f, a, r, n in zip(flat, at, row, sizes):
+                pick = (a >= k) & (a < k + 4096)
+                pick[pick] = common[a[pick]] == f[pick]
+                m = np.zeros((len(n), 4096), np.float32)
+                m[r[pick], a[pick] - k] = 1
+                part.append(m)
+            shared += part[0] @ part[1].T
+        shared = shared.astype(np.int64)
+        ok = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+        ok &= sides[0].c.to_numpy()[:, None] != sides[1].c.to_numpy()[None, :]
+        x, y = np.nonzero(ok)
+        x, y = sides[0].rep.to_numpy()[x], sides[1].rep.to_numpy()[y]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    return sent.groupBy("pool", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     one = pairs.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
@@ -188,11 +234,14 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="d
 
     # what is left: pairs of one bucket in different components
     placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "low", "n")
     open_rows = settle(placed.join(split, "key"))
-    cross = open_rows.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(open_rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")), "key").where("a < b AND ca != cb").select("a", "b").distinct()
-    cross = cross.join(first, ["a", "b"], "left_anti")
-    late = settle(confirmed(likely(cross, sigs, percent), sets, percent))
+    large = settle(components(open_rows.where(F.col("n") > LARGE).select(F.col("low").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("pool")))
+    small = open_rows.where(F.col("n") <= LARGE).join(large, "rep", "left").select("key", "rep", "c", "pool")
+    left, right = (small.select("key", F.col("rep").alias(end), F.col("c").alias(f"c_{end}"), F.col("pool").alias(f"pool_{end}")) for end in "ab")
+    cross = left.join(right, "key").where("a < b AND c_a != c_b AND NOT coalesce(pool_a = pool_b, false)").select("a", "b").distinct()
+    late = confirmed(likely(cross.join(first, ["a", "b"], "left_anti"), sigs, percent), sets, percent)
+    late = settle(late.union(pooled(large, comps, sets, percent)))
     if not late.isEmpty():
         comps = settle(components(links.union(late)))
 
