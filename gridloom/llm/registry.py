@@ -12,6 +12,7 @@ _WHERE = {
     "op7_token_blocks": "token_blocks",
     "op8_toxicity": "toxicity",
     "op9_quality": "quality",
+    "op10_decontaminate": "decontaminate",
 }
 
 
