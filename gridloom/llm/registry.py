@@ -9,6 +9,7 @@ _WHERE = {
     "op2_mixing": "mixing",
     "op3_line_dedup": "line_dedup",
     "op5_near_duplicates": "minhash",
+    "op6_embedding_links": "nndescent",
     "op7_token_blocks": "token_blocks",
     "op8_toxicity": "toxicity",
     "op9_quality": "quality",
