@@ -8,6 +8,7 @@ _WHERE = {
     "op1_language_mixture": "langid",
     "op2_mixing": "mixing",
     "op3_line_dedup": "line_dedup",
+    "op4_pseudo_likelihood": "lm_score",
     "op5_near_duplicates": "minhash",
     "op6_embedding_links": "nndescent",
     "op7_token_blocks": "token_blocks",
