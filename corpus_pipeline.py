@@ -1,11 +1,61 @@
-"""A corpus pipeline out of five of the operators in ``gridloom.llm``."""
+"""A corpus pipeline out of five operators of ``gridloom.llm``.
 
-STAGES: list = []
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept;
+what it returns is written as Parquet and read again before the next one. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from gridloom.llm import decontaminate, minhash, mixing, quality, token_blocks
+from gridloom.llm.common import ensure_checkpoint_dir, table
+
+
+def quality_classifier(spark, docs, sf_dir):
+    """Documents with a quality score under 0.3 go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the least id stays."""
+    return minhash.deduplicated(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark, docs, sf_dir):
+    """Every document as often as the mix draws it."""
+    return mixing.emit(docs, mixing.mix(docs))
+
+
+def token_output(spark, docs, sf_dir):
+    """Token segments written and read back: a row a document."""
+    return token_blocks.encode_and_read(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", source_mixing),
+    ("token output", token_output),
+]
+
+#: No SQL can express the classifier, the benchmark search or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -255,10 +255,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="t
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` without those that leak an item; rows with a null id stay."""
-    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__leaked"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col="text") -> DataFrame:
+    """``docs`` without the rows that leak an item, judged where they are read."""
+    at = docs.columns.index(text_col)
+    for block in benchmark_blocks(benchmark):
+        index = build_index(block)
+        if index is None:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def keep(batches, shared=shared):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[hit[0] for hit in find(batch.column(at).to_pylist(), shared.value)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def op10_decontaminate(spark, sf_dir):

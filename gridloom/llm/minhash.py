@@ -250,6 +250,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="d
     return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
+    """One row of each component; rows with a null id stay."""
+    kept = near_duplicates(docs, k=k, percent=percent, id_col=id_col, text_col=text_col).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return named.union(docs.where(F.col(id_col).isNull()))
+
+
 def op5_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
 

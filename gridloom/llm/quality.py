@@ -172,11 +172,32 @@ def score(docs: DataFrame, model, idf: np.ndarray, *, id_col="doc_id", text_col=
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(answer, f"doc_id {kind}, score double")
 
 
-def train_and_score(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = TRAIN_DOCS) -> DataFrame:
-    """``(doc_id, score)`` for every row of ``docs``, learned from ``labels`` whose crc32 of the id mod 5 is not 0."""
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = TRAIN_DOCS):
+    """Model and term weights, learned from ``labels`` whose crc32 of the id mod 5 is not 0."""
     idf = inverse_frequency(*document_frequency(docs))
-    model = fit(labelled_sample(docs, labels.where(crc_mod("doc_id", 5) != 0), label, bound), idf)
-    return score(docs, model, idf)
+    return fit(labelled_sample(docs, labels.where(crc_mod("doc_id", 5) != 0), label, bound), idf), idf
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, score)`` for every row of ``docs``."""
+    return score(docs, *fitted(docs, labels))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, judged where they are read; all of them without a model."""
+    model, idf = fitted(docs, labels)
+    if model is None:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast((model, idf)), docs.columns.index("text")
+
+    def keep(batches):
+        own, weights = shared.value
+        for batch in batches:
+            for first, counts in _blocks(batch.column(at).to_pylist()):
+                p = vote(_unit(weigh(counts, weights) @ own[0]), own[1], own[2])
+                yield batch.slice(first, len(counts)).filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op9_quality(spark, sf_dir):
