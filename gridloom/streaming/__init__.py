@@ -1,0 +1 @@
+"""Nothing yet: the reference has no streams, and none of the store's operators needs one."""
