@@ -13,7 +13,8 @@ rows are spread over salts in the range order.
 
 Cases: a null or empty text is one empty line; lines whose key has fewer than
 ``min_chars`` code points always stay; copies of a key inside its first document all stay;
-repeated rows of one id count as one document in the bitmap. An empty table gives an empty
+repeated rows of one id count as one document in the bitmap; rows with a null id neither
+lose lines nor hold a first occurrence. An empty table gives an empty
 result. Keys are compared by two 64-bit hashes.
 """
 
@@ -39,7 +40,8 @@ def line_key(line: Column) -> Column:
 def keep_bitmaps(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars: int = 10) -> DataFrame:
     """``(doc_id, n_dropped, keep map<long, long>)`` of the documents that lose lines."""
     spark = docs.sparkSession
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    named = docs.where(F.col(id_col).isNotNull())
+    lines = named.select(F.col(id_col).alias("doc_id"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     key = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     hashed = settle(key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos"))
 
@@ -63,7 +65,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col="doc_id", text_
     """``docs`` with its text cut down to the lines that the bitmaps keep, and ``n_lines``, ``n_dropped``."""
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("n_dropped").alias("__dropped"), F.col("keep").alias("__keep"))
     lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda _, i: F.coalesce(F.expr("1L") .bitwiseAND(F.call_function("shiftrightunsigned", F.element_at("__keep", F.shiftright(i, 6).cast("long")), i % 64)) == 1, F.lit(True)))
+    kept = F.filter(lines, lambda _, i: F.coalesce(F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", F.element_at("__keep", F.shiftright(i, 6).cast("long")), i % 64)) == 1, F.lit(True)))
     return (
         docs.join(marks, F.col(id_col) == F.col("__id"), "left")
         .withColumn("n_lines", F.size(lines).cast("long"))

@@ -90,9 +90,10 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
 
 
 def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mixture itself: every row of ``docs`` as often as ``mixed`` says (ids must be unique)."""
-    take = mixed.where("copies > 0").select(F.col("doc_id").alias("__take_id"), F.sequence(F.lit(1), "copies").alias("__copies"))
-    return docs.join(take, F.col(id_col) == F.col("__take_id")).withColumn("__copy", F.explode("__copies")).select(*docs.columns)
+    """The mixture itself: every row of ``docs`` as often as ``mixed`` says. Rows that share an id go by the most copies of one of them; a null id is an id."""
+    drawn = mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    take = drawn.select(F.col("doc_id").alias("__take_id"), F.sequence(F.lit(1), "copies").alias("__copies"))
+    return docs.join(take, F.col(id_col).eqNullSafe(F.col("__take_id"))).withColumn("__copy", F.explode("__copies")).select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir):

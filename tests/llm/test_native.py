@@ -112,3 +112,11 @@ def test_no_python_and_no_second_exchange_for_the_stream(spark):
     assert "Python" not in plan and "Arrow" not in plan
     assert plan.count("Exchange rangepartitioning") == 1
     assert hashlib.sha256(b"").hexdigest() == df.select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
+
+
+def test_null_ids(spark):
+    rows = [(None, "the very same line", "s", *"xxxx"), (4, "the very same line", "s", *"xxxx"), (2, "the very same line", None, *"xxxx")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df)).collect()}
+    assert got == {None: (0, rows[0][1]), 2: (0, rows[0][1]), 4: (1, "")}
+    assert mixing.emit(df, mixing.mix(df)).count() > 0
