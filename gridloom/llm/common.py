@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -13,7 +14,16 @@ BLANKS = "\t\n\x0b\x0c\r "
 WORD_REGEX = r"[^ \t-\r]+"
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this package's place on the path of Python workers that start from now on (a cluster gets it by ``--py-files``)."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
