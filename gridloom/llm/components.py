@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import settle
 
 
+SALTS = 64
+
+
+def in_blocks(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Deal ``members (rep, pool, ...)`` to ``block`` 0 .. ``blocks`` - 1 of their pool, by hash.
+
+    ``blocks (pool, blocks)`` is repeated once a salt, so that a large pool's members do not
+    meet in one task for it.
+    """
+    salt = lambda c, n: F.pmod(F.xxhash64(F.lit(c), "rep"), n).cast("int")
+    repeated = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", salt("salt", F.lit(SALTS))).join(repeated, ["pool", "salt"]).drop("salt").withColumn("block", salt("block", F.col("blocks")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` to ``(node, component)``: the least node reachable. Nodes without an edge are left out."""
     given = edges.where("a != b")

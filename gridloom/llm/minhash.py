@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import settle, table
-from gridloom.llm.components import components
+from gridloom.llm.components import components, in_blocks
 from gridloom.llm.textcodes import mix, word_batches
 
 SIZE, BANDS, BATCH = 128, 32, 32
@@ -166,7 +166,7 @@ def pooled(pools: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) ->
     named = pools.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "pool", F.coalesce("component", "rep").alias("c"))
     full = settle(named.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep"))
     counts = full.groupBy("pool").agg(F.greatest(F.ceil(F.count(F.lit(1)) / POOL_ROWS), F.ceil(F.sum(F.octet_length("set")) / POOL_BYTES)).cast("int").alias("blocks"))
-    dealt = full.join(counts, "pool").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = in_blocks(full, counts)
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "set")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
