@@ -5,12 +5,18 @@ vectors, one table a place, are summed, squashed, and a two-level softmax (group
 in the group) gives the probability of the masked word. A text's score is the sum of these
 conditional log-probabilities, and their mean a word.
 
-Word counts are gathered over the whole corpus; the ``VOCAB`` most frequent words get codes
-of their own and all others share ``OTHER`` codes by hash. Every scan task then trains a
-copy of the network from one starting point on all its documents (plain SGD, in numpy; a
-hash masks one word in ``MASK_EVERY`` to be predicted) and sends it on once; Spark averages the copies, weighted by words. ``EPOCHS`` such rounds are
-made. So what training reads and gathers grows with the corpus, and no task sees more than
-its own split.
+Word counts are gathered over the whole corpus. Words counted ``LEAST`` times or more get
+codes of their own, the most frequent ``SCALE * sqrt(tokens)`` of them (960 at least), so
+vocabulary and network follow the corpus. Every other word is told by its length's code and
+then spelled: a byte model, each byte given the two before it, counted over all such words,
+whose probabilities sum to 1 over the words of that length outside the vocabulary. So a
+score is that of the token, and a rare word that looks like none of the corpus scores low.
+
+Every scan task then trains a copy of the network from one starting point on all its
+documents (plain SGD, in numpy; a hash masks one word in ``MASK_EVERY`` to be predicted)
+and sends it on once; Spark averages the copies, weighted by words. ``EPOCHS`` such rounds
+are made. So what training reads and gathers grows with the corpus, and no task sees more
+than its own split.
 
 Cases: null texts and texts without a word have 0 words, score 0 and a null mean; places
 before and after a text are an own code. Repeated rows are scored each. An empty table
@@ -19,89 +25,201 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
-from gridloom.llm.textcodes import mix, word_batches
+from gridloom.llm.common import settle, table
+from gridloom.llm.textcodes import _BLANK, _LOWER, mix, word_batches
 
+#: The least network has 32 groups of 32 codes; larger ones are square too.
 GROUPS = 32
 SLOTS = 32
+#: Codes of words out of the vocabulary: one for each length in bytes, the last for all from ``OTHER`` on.
 OTHER = 64
 VOCAB = GROUPS * SLOTS - OTHER
 PAD = GROUPS * SLOTS
+LEAST = 5
+SCALE = 2
+#: Spelling contexts: the byte before, and the one before that by its last bits.
+BEFORE = 16
 SIDE = 2
 WIDTH = 16
 RATE = 0.5
 STEP = 2048
 SLICE = 1 << 14
+#: Floats of the network in a row that a task sends.
+CHUNK = 1 << 12
 #: A word in so many is masked for training, all of its neighbours are seen.
 MASK_EVERY = 8
 EPOCHS = 1
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all texts, most frequent first (ties by hash)."""
+def _cells(data: np.ndarray) -> np.ndarray:
+    """Cell of the spelling table of each byte: its context (words begin after a blank), then the byte."""
+    b = np.where(_BLANK[data], 0, _LOWER[data]).astype(np.int32)
+    one = np.concatenate([[0], b[:-1]]).astype(np.int32)
+    two = np.concatenate([[0], one[:-1]]).astype(np.int32)
+    two[one == 0] = 0
+    return (one * BEFORE + two % BEFORE) * 256 + b
+
+
+@dataclass
+class Vocabulary:
+    """Hashes of the words with codes, most frequent first, and the spelling of all others."""
+
+    hashes: np.ndarray
+    spelling: np.ndarray  # log-probability of each cell
+    rest: np.ndarray  # for each length, log of what vocabulary words leave of its spellings
+    longer: float  # chance that a word of ``OTHER`` bytes or more has another
+
+    @property
+    def side(self) -> int:
+        return max(GROUPS, math.isqrt(max(len(self.hashes) + OTHER - 1, 0)) + 1)
+
+    def _spelled(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(begin):
+            return np.empty(0)
+        total = np.add.reduceat(np.append(self.spelling[_cells(np.frombuffer(data, np.uint8))].astype(np.float64), 0.0), np.stack([begin, end], 1).ravel())[::2]
+        beyond = end - begin - OTHER
+        return total + np.where(beyond >= 0, beyond * math.log(self.longer) + math.log1p(-self.longer), 0.0)
+
+    def spelled(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log-probability of words out of the vocabulary, given their length's code."""
+        return self._spelled(data, begin, end) - self.rest[np.minimum(end - begin, OTHER) - 1]
+
+
+def _joined(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    data, n = b" ".join(words) + b" ", np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(n + 1) - 1
+    return data, end - n, end
+
+
+def spell_model(rows, excess: int, longer: int, words: list[bytes], hashes: np.ndarray) -> Vocabulary:
+    """``rows``: cells and counts over all words but ``words``; ``longer`` of them have ``OTHER`` bytes or more, ``excess`` bytes beyond that together."""
+    counts = np.zeros(256 * BEFORE * 256)
+    counts[rows[0]] = rows[1]
+    counts = counts.reshape(256, BEFORE, 256)
+    base = np.array([not _BLANK[c] and _LOWER[c] == c for c in range(256)], float)
+    base /= base.sum()
+    pair = counts.sum(1)
+    pair = (pair + 4 * base) / (pair.sum(1, keepdims=True) + 4)
+    p = (counts + 4 * pair[:, None, :]) / (counts.sum(2, keepdims=True) + 4)
+    out = Vocabulary(hashes, np.log(np.maximum(p, 1e-300)).astype(np.float32).ravel(), np.zeros(OTHER), (excess + 1) / (excess + longer + 2))
+    data, begin, end = _joined(words)
+    taken = np.bincount(np.minimum(end - begin, OTHER) - 1, np.exp(out._spelled(data, begin, end)), OTHER) if words else np.zeros(OTHER)
+    out.rest = np.log(np.maximum(1 - taken, 1e-9))
+    return out
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Words with codes (ties by word), and the spelling of the others, from all texts."""
 
     def count(batches):
         for batch in batches:
             for words in word_batches(batch.column(0).to_pylist()):
                 if len(words.hashes):
-                    h, n = np.unique(words.hashes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(VOCAB).toPandas()
-    return top.h.to_numpy(np.int64).view(np.uint64)
+                    _, pick, n = np.unique(words.hashes, return_index=True, return_counts=True)
+                    low = words.data.lower()  # A-Z only
+                    own = [low[x:y] for x, y in zip(words.begin[pick].tolist(), words.end[pick].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(n)], ["word", "n"])
+
+    counts = settle(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(VOCAB, math.ceil(SCALE * math.sqrt(tokens)))
+    top = [bytes(r.word) for r in counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(most).collect()]
+    hashes = np.empty(0, np.uint64)
+    if top:
+        (own,) = word_batches([(b" ".join(top)).decode("utf-8", "surrogatepass")], limit=1 << 62)
+        hashes = own.hashes
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hashes))
+
+    def spell(batches):
+        total, excess, longer = np.zeros(256 * BEFORE * 256), 0, 0
+        for batch in batches:
+            own, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for k in range(0, len(own), 1 << 16):
+                data, begin, end = _joined(own[k : k + (1 << 16)])
+                (words,) = word_batches([data.decode("utf-8", "surrogatepass")], limit=1 << 62)
+                weight = n[k : k + (1 << 16)] * ~np.isin(words.hashes, shared.value)
+                size = end - begin
+                inside = np.ones(len(data), bool)
+                inside[end] = False
+                total += np.bincount(_cells(np.frombuffer(data, np.uint8))[inside], np.repeat(weight, size), len(total))
+                excess += int((np.maximum(size - OTHER, 0) * weight).sum())
+                longer += int(weight[size >= OTHER].sum())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total[at], [excess, longer]).astype(np.int64))], ["cell", "n"])
+
+    rows = counts.mapInArrow(spell, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cell, n = rows.cell.to_numpy(np.int64), rows.n.to_numpy(np.int64)
+    return spell_model((cell[cell >= 0], n[cell >= 0]), int(n[cell == -1].sum()), int(n[cell == -2].sum()), top, hashes)
 
 
 class Coder:
-    """Words to codes: rank r is word r // GROUPS of group r % GROUPS."""
+    """Words to codes: rank r is word r // side of group r % side; the last ``OTHER`` ranks are those of lengths."""
 
-    def __init__(self, vocab: np.ndarray):
+    def __init__(self, vocab: np.ndarray, side: int = GROUPS):
         order = np.argsort(vocab)
-        self.keys, self.rank = vocab[order], order
+        self.keys, self.rank, self.side = vocab[order], order, side
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        rank = VOCAB + (hashes % np.uint64(OTHER)).astype(np.int64)
+    def __call__(self, hashes: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        code, _ = self.codes(hashes, np.ones(len(hashes), np.int64) if sizes is None else sizes)
+        return code
+
+    def codes(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and which words are out of the vocabulary."""
+        rank, out = self.side**2 - OTHER + np.minimum(sizes, OTHER) - 1, np.ones(len(hashes), bool)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == hashes, self.rank[at], rank)
-        return (rank % GROUPS) * SLOTS + rank // GROUPS
+            out = self.keys[at] != hashes
+            rank = np.where(out, rank, self.rank[at])
+        return (rank % self.side) * self.side + rank // self.side, out
 
 
-SHAPES = {"place": (2 * SIDE, PAD + 1, WIDTH), "bias": (WIDTH,), "group": (GROUPS, WIDTH), "group_bias": (GROUPS,), "word": (GROUPS, SLOTS, WIDTH), "word_bias": (GROUPS, SLOTS)}
+def shapes(side: int) -> dict[str, tuple]:
+    return {"place": (2 * SIDE, side * side + 1, WIDTH), "bias": (WIDTH,), "group": (side, WIDTH), "group_bias": (side,), "word": (side, side, WIDTH), "word_bias": (side, side)}
 
 
-def start() -> dict[str, np.ndarray]:
+def start(side: int = GROUPS, words: int | None = None) -> dict[str, np.ndarray]:
+    """The first network; codes that none of ``words`` words has get no probability."""
     rng = np.random.default_rng(11)
-    return {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 and "bias" not in k else 0)).astype(np.float32) for k, s in SHAPES.items()}
+    net = {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 and "bias" not in k else 0)).astype(np.float32) for k, s in shapes(side).items()}
+    if words is not None:
+        free = np.arange(words, side * side - OTHER)
+        net["word_bias"][free % side, free // side] = -60
+    return net
 
 
 def pack(net: dict) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in SHAPES])
+    return np.concatenate([net[k].ravel() for k in shapes(len(net["group"]))])
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    side = GROUPS
+    while sum(map(math.prod, shapes(side).values())) < len(flat):
+        side += 1
     out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
+    for k, s in shapes(side).items():
+        n = math.prod(s)
         out[k] = flat[at : at + n].reshape(s).copy()
         at += n
     return out
 
 
-def contexts(codes: np.ndarray, words) -> np.ndarray:
-    """Codes of the ``2 * SIDE`` neighbours of every word, ``PAD`` beyond a text's ends."""
+def contexts(codes: np.ndarray, words, pad: int = PAD) -> np.ndarray:
+    """Codes of the ``2 * SIDE`` neighbours of every word, ``pad`` beyond a text's ends."""
     n, doc = len(codes), words.doc_of()
-    out = np.full((n, 2 * SIDE), PAD, np.int64)
+    out = np.full((n, 2 * SIDE), pad, np.int64)
     for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         a, b = max(0, -d), min(n, n - d)
         if b > a:
             same = doc[a:b] == doc[a + d : b + d]
-            out[a:b, k] = np.where(same, codes[a + d : b + d], PAD)
+            out[a:b, k] = np.where(same, codes[a + d : b + d], pad)
     return out
 
 
@@ -120,14 +238,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def log_probabilities(net: dict, codes: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Of each word given its neighbours."""
-    out = np.empty(len(codes), np.float32)
+    out, groups, slots = np.empty(len(codes), np.float32), *net["word_bias"].shape
     for k in range(0, len(codes), SLICE):
         order = np.argsort(codes[k : k + SLICE], kind="stable")
         c = codes[k : k + SLICE][order]
         h = hidden(net, context[k : k + SLICE][order])
-        group, slot = c // SLOTS, c % SLOTS
+        group, slot = c // slots, c % slots
         lp = _log_at(h @ net["group"].T + net["group_bias"], group)
-        edges = np.searchsorted(group, np.arange(GROUPS + 1))
+        edges = np.searchsorted(group, np.arange(groups + 1))
         for g, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
             if y > x:
                 lp[x:y] += _log_at(h[x:y] @ net["word"][g].T + net["word_bias"][g], slot[x:y])
@@ -144,17 +262,17 @@ def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def train_step(net: dict, codes: np.ndarray, context: np.ndarray, rate: float) -> None:
     """One step of gradient descent on some words."""
-    n = len(codes)
+    n, (groups, slots) = len(codes), net["word_bias"].shape
     h = hidden(net, context)
-    group, slot = codes // SLOTS, codes % SLOTS
+    group, slot = codes // slots, codes % slots
     p = np.exp(_log_softmax(h @ net["group"].T + net["group_bias"]))
     p[np.arange(n), group] -= 1
     dh = p @ net["group"]
     net["group"] -= rate / n * (p.T @ h)
     net["group_bias"] -= rate / n * p.sum(0)
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
+    edges = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in range(groups):
         rows = order[edges[g] : edges[g + 1]]
         if not len(rows):
             continue
@@ -172,43 +290,53 @@ def train_step(net: dict, codes: np.ndarray, context: np.ndarray, rate: float) -
         net["place"][k][at] -= rate * total / np.maximum(count, 32)[:, None]
 
 
-def train_round(docs: DataFrame, vocab: np.ndarray, flat: np.ndarray) -> np.ndarray:
+def train_round(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> np.ndarray:
     """The average of the networks that the scan's tasks make of ``flat``, weighted by words."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab, flat))
     size = len(flat)
 
     def learn(batches):
-        coder, net, seen = Coder(shared.value[0]), unpack(shared.value[1]), 0
+        vocab, flat = shared.value
+        coder, net, seen = Coder(vocab.hashes, vocab.side), unpack(flat), 0
         for batch in batches:
             for words in word_batches(batch.column(0).to_pylist()):
-                codes = coder(words.hashes)
+                codes = coder(words.hashes, words.end - words.begin)
                 masked = np.flatnonzero(mix(words.hashes + np.arange(len(codes), dtype=np.uint64)) % np.uint64(MASK_EVERY) == 0)
-                context, target = contexts(codes, words)[masked], codes[masked]
+                context, target = contexts(codes, words, vocab.side**2)[masked], codes[masked]
                 for k in range(0, len(target), STEP):
                     train_step(net, target[k : k + STEP], context[k : k + STEP], RATE)
                 seen += len(codes)
         if seen:
-            own = pack(net).astype(np.float64) * seen
-            for k in range(0, size, 1024):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([own[k : k + 1024].tolist()], pa.list_(pa.float64())), pa.array([seen])], ["at", "part", "seen"])
-
-    parts = docs.select("text").mapInArrow(learn, "at long, part array<double>, seen long")
-    sums = parts.select("at", "seen", F.posexplode("part").alias("k", "x")).groupBy((F.col("at") + F.col("k")).alias("k")).agg((F.sum("x") / F.sum("seen")).cast("float").alias("x")).toPandas()
+            own = pack(net)
+            for k in range(0, size, CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([own[k : k + CHUNK].tobytes()], pa.binary()), pa.array([seen])], ["at", "part", "seen"])
+
+    def average(rows: pa.Table) -> pa.Table:
+        seen = rows.column("seen").to_numpy().astype(np.float64)
+        total = 0.0
+        for part, n in zip(rows.column("part"), seen):
+            total = total + np.frombuffer(part.as_py(), np.float32) * n
+        return pa.table({"at": rows.column("at").slice(0, 1), "part": pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(learn, "at long, part binary, seen long")
     out = flat.copy()
-    out[sums.k.to_numpy()] = sums.x.to_numpy(np.float32)
+    for row in parts.groupBy("at").applyInArrow(average, "at long, part binary").collect():
+        out[row.at : row.at + CHUNK] = np.frombuffer(row.part, np.float32)
     return out
 
 
-def score(docs: DataFrame, vocab: np.ndarray, flat: np.ndarray, *, id_col="doc_id", text_col="text") -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray, *, id_col="doc_id", text_col="text") -> DataFrame:
     """``doc_id, n_words, log_likelihood, mean_log_likelihood`` for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab, flat))
 
     def answer(batches):
-        coder, net = Coder(shared.value[0]), unpack(shared.value[1])
+        vocab, flat = shared.value
+        coder, net = Coder(vocab.hashes, vocab.side), unpack(flat)
         for batch in batches:
             for words in word_batches(batch.column(1).to_pylist()):
-                codes = coder(words.hashes)
-                lp = log_probabilities(net, codes, contexts(codes, words)).astype(np.float64)
+                codes, out = coder.codes(words.hashes, words.end - words.begin)
+                lp = log_probabilities(net, codes, contexts(codes, words, vocab.side**2)).astype(np.float64)
+                lp[out] += vocab.spelled(words.data, words.begin[out], words.end[out])
                 n = np.diff(words.start)
                 total = np.bincount(words.doc_of(), lp, len(words)) if len(lp) else np.zeros(len(words))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(words)), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
@@ -217,9 +345,10 @@ def score(docs: DataFrame, vocab: np.ndarray, flat: np.ndarray, *, id_col="doc_i
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(answer, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
-def train(docs: DataFrame, *, text_col="text", epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, *, text_col="text", epochs: int = EPOCHS) -> tuple[Vocabulary, np.ndarray]:
     texts = docs.select(F.col(text_col).alias("text"))
-    vocab, flat = vocabulary(texts), pack(start())
+    vocab = vocabulary(texts)
+    flat = pack(start(vocab.side, len(vocab.hashes)))
     for _ in range(epochs):
         flat = train_round(texts, vocab, flat)
     return vocab, flat

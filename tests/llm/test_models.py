@@ -161,3 +161,33 @@ def test_lm_over_tables(spark):
     empty = docs.limit(0)
     assert lm_score.score(empty, *lm_score.train(empty)).count() == 0
     assert docs.agg(F.count(F.lit(1))).first()[0] == len(rows)
+
+
+def test_lm_vocabulary_follows_the_corpus_and_rare_words_are_spelled(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(k0, k0 + 150)), None) for k0 in range(0, 1500, 150) for i in range(6)]
+    rows += [(100 + i, f"w1 stone{i} w3 stane{i}", None) for i in range(40)]
+    docs = frame(spark, rows)
+    vocab, flat = lm_score.train(docs)
+    small = lm_score.vocabulary(docs.where("doc_id >= 100"))
+    assert len(vocab.hashes) > len(small.hashes) == 2
+    for own, net in ((vocab, lm_score.unpack(flat)), (small, lm_score.start(small.side, 2))):
+        (two,) = word_batches(["w1 " + " ".join(chr(c) for c in range(33, 127) if not 65 <= c <= 90)])
+        coder = lm_score.Coder(own.hashes, own.side)
+        codes, out = coder.codes(two.hashes, two.end - two.begin)
+        assert not out[0] and out[1:].all() and len(set(codes[1:])) == 1
+        # words of one byte share a code and are spelled: their probabilities sum to that of the code
+        cells = (np.arange(256) + 0).astype(np.int64)
+        free = np.exp(own.spelling[cells].astype(np.float64))
+        assert abs(free.sum() - 1) < 1e-4
+        assert (own.spelled(two.data, two.begin[1:], two.end[1:]) <= 1e-6).all()
+    new = [(0, "w1 stone7 w3", None), (1, "w1 q#zx~7 w3", None), (2, "w1 " + "z" * 500 + " w3", None)]
+    got = {r.doc_id: r.log_likelihood for r in lm_score.score(frame(spark, new), vocab, flat).collect()}
+    assert got[0] > got[1] + 3 and got[1] > got[2]  # shared hash codes could not tell them apart
+
+
+def test_lm_vocabulary_grows_past_its_least_size(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SCALE", 40)
+    docs = frame(spark, [(i, " ".join(f"v{k}" for k in range(1200)), None) for i in range(6)])
+    vocab, flat = lm_score.train(docs)
+    assert len(vocab.hashes) == 1200 and vocab.side**2 >= 1200 + lm_score.OTHER
+    assert lm_score.unpack(flat)["word"].shape[0] == vocab.side
