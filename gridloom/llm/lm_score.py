@@ -13,9 +13,8 @@ whose probabilities sum to 1 over the words of that length outside the vocabular
 score is that of the token, and a rare word that looks like none of the corpus scores low.
 
 Every scan task then trains a copy of the network from one starting point on all its
-documents (plain SGD, in numpy; a hash masks one word in ``MASK_EVERY`` to be predicted)
-and sends it on once; Spark averages the copies, weighted by words. ``EPOCHS`` such rounds
-are made. So what training reads and gathers grows with the corpus, and no task sees more
+documents (plain SGD, in numpy; every word is masked and predicted once a round) and sends
+it on once; Spark averages the copies, weighted by words. ``EPOCHS`` such rounds are made. So what training reads and gathers grows with the corpus, and no task sees more
 than its own split.
 
 Cases: null texts and texts without a word have 0 words, score 0 and a null mean; places
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import settle, table
-from gridloom.llm.textcodes import _BLANK, _LOWER, mix, word_batches
+from gridloom.llm.textcodes import _BLANK, _LOWER, word_batches
 
 #: The least network has 32 groups of 32 codes; larger ones are square too.
 GROUPS = 32
@@ -50,12 +49,10 @@ BEFORE = 16
 SIDE = 2
 WIDTH = 16
 RATE = 0.5
-STEP = 2048
+STEP = 4096
 SLICE = 1 << 14
 #: Floats of the network in a row that a task sends.
 CHUNK = 1 << 12
-#: A word in so many is masked for training, all of its neighbours are seen.
-MASK_EVERY = 8
 EPOCHS = 1
 
 
@@ -230,9 +227,10 @@ def hidden(net: dict, context: np.ndarray) -> np.ndarray:
     return np.tanh(x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
     return x
 
 
@@ -263,31 +261,39 @@ def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def train_step(net: dict, codes: np.ndarray, context: np.ndarray, rate: float) -> None:
     """One step of gradient descent on some words."""
     n, (groups, slots) = len(codes), net["word_bias"].shape
+    order = _order(codes // slots, groups)
+    codes, context = codes[order], context[order]
     h = hidden(net, context)
     group, slot = codes // slots, codes % slots
-    p = np.exp(_log_softmax(h @ net["group"].T + net["group_bias"]))
+    p = _softmax(h @ net["group"].T + net["group_bias"])
     p[np.arange(n), group] -= 1
     dh = p @ net["group"]
     net["group"] -= rate / n * (p.T @ h)
     net["group_bias"] -= rate / n * p.sum(0)
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(groups + 1))
-    for g in range(groups):
-        rows = order[edges[g] : edges[g + 1]]
-        if not len(rows):
+    edges = np.searchsorted(group, np.arange(groups + 1)).tolist()
+    for g, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
+        if y == x:
             continue
-        q = np.exp(_log_softmax(h[rows] @ net["word"][g].T + net["word_bias"][g]))
-        q[np.arange(len(rows)), slot[rows]] -= 1
-        dh[rows] += q @ net["word"][g]
-        net["word"][g] -= rate / len(rows) * (q.T @ h[rows])
-        net["word_bias"][g] -= rate / len(rows) * q.sum(0)
+        own, word = h[x:y], net["word"][g]
+        q = _softmax(own @ word.T + net["word_bias"][g])
+        q[np.arange(y - x), slot[x:y]] -= 1
+        dh[x:y] += q @ word
+        q *= rate / (y - x)
+        word -= q.T @ own
+        net["word_bias"][g] -= q.sum(0)
     dx = dh * (1 - h * h)
     net["bias"] -= rate / n * dx.sum(0)
     for k in range(2 * SIDE):  # a code's vector moves by the mean over its places in the step
-        at, inverse, count = np.unique(context[:, k], return_inverse=True, return_counts=True)
-        by = np.argsort(inverse, kind="stable")
-        total = np.add.reduceat(dx[by], np.cumsum(count) - count, axis=0)
-        net["place"][k][at] -= rate * total / np.maximum(count, 32)[:, None]
+        by = _order(context[:, k], groups * slots + 1)
+        at = context[by, k]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        count = np.diff(first, append=n)
+        total = np.add.reduceat(dx[by], first, axis=0)
+        net["place"][k][at[first]] -= (rate / np.maximum(count, 32)).astype(np.float32)[:, None] * total
+
+
+def _order(x: np.ndarray, below: int) -> np.ndarray:
+    return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
 
 
 def train_round(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> np.ndarray:
@@ -301,10 +307,9 @@ def train_round(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> np.ndar
         for batch in batches:
             for words in word_batches(batch.column(0).to_pylist()):
                 codes = coder(words.hashes, words.end - words.begin)
-                masked = np.flatnonzero(mix(words.hashes + np.arange(len(codes), dtype=np.uint64)) % np.uint64(MASK_EVERY) == 0)
-                context, target = contexts(codes, words, vocab.side**2)[masked], codes[masked]
-                for k in range(0, len(target), STEP):
-                    train_step(net, target[k : k + STEP], context[k : k + STEP], RATE)
+                context = contexts(codes, words, vocab.side**2)
+                for k in range(0, len(codes), STEP):
+                    train_step(net, codes[k : k + STEP], context[k : k + STEP], RATE)
                 seen += len(codes)
         if seen:
             own = pack(net)

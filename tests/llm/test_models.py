@@ -176,8 +176,7 @@ def test_lm_vocabulary_follows_the_corpus_and_rare_words_are_spelled(spark):
         codes, out = coder.codes(two.hashes, two.end - two.begin)
         assert not out[0] and out[1:].all() and len(set(codes[1:])) == 1
         # words of one byte share a code and are spelled: their probabilities sum to that of the code
-        cells = (np.arange(256) + 0).astype(np.int64)
-        free = np.exp(own.spelling[cells].astype(np.float64))
+        free = np.exp(own.spelling[:256].astype(np.float64))
         assert abs(free.sum() - 1) < 1e-4
         assert (own.spelled(two.data, two.begin[1:], two.end[1:]) <= 1e-6).all()
     new = [(0, "w1 stone7 w3", None), (1, "w1 q#zx~7 w3", None), (2, "w1 " + "z" * 500 + " w3", None)]
@@ -191,3 +190,13 @@ def test_lm_vocabulary_grows_past_its_least_size(spark, monkeypatch):
     vocab, flat = lm_score.train(docs)
     assert len(vocab.hashes) == 1200 and vocab.side**2 >= 1200 + lm_score.OTHER
     assert lm_score.unpack(flat)["word"].shape[0] == vocab.side
+
+
+def test_lm_trains_on_every_word(spark):
+    (words,) = word_batches(["stone"])
+    assert lm_score.Coder(np.empty(0, np.uint64))(words.hashes).shape == (1,)
+    for text in ("stone", "river", "a"):  # the hash mask left these out
+        docs = frame(spark, [(0, text, None)])
+        vocab = lm_score.vocabulary(docs)
+        flat = lm_score.pack(lm_score.start(vocab.side, 0))
+        assert (lm_score.train_round(docs, vocab, flat) != flat).any(), text
