@@ -2,15 +2,18 @@
 
 1. Rows that can link (label, finite components, some length) become unit vectors in double
    precision; equal ones of a label form a class with a count.
-2. The graph starts from random hyperplanes: ``TABLES`` keys of about log2(n / labels) bits;
+2. The graph starts from random hyperplanes: ``TABLES`` keys of about log2(vectors of the label) bits;
    inside a key (large ones dealt to chunks) neighbours along one more projection are paired.
 3. Rounds of neighbours-of-neighbours joins refine lists of the ``K`` nearest, of cosine
    ``FLOOR`` or more: two neighbours of one vector at cosine 0.98 are at 0.92 or more, so
    weaker ones lead nowhere. Rounds end when no list changes.
 4. A list whose K entries are all links is saturated. Its component is then compared in
    full, block against block, which returns counts and not pairs; links cannot leave it.
-5. A bounded set of queries is compared with all rows. Below ``RECALL`` of the links so
-   found, the search goes on with as many tables more.
+5. Each label is audited by itself: queries outside saturated components are compared with
+   all of the label until ``LINKED`` of them have links, and recall is the mean over those.
+   If a label is below ``RECALL`` the search goes on, up to ``PASSES`` times. A label that
+   still is below, that shows too few linked queries, or that is small is compared in full,
+   block against block. So every label has its measured recall, or is exact.
 
 Links are pairs of one label at cosine >= 0.98. Cases: rows with a null label, and vectors
 that are null, empty, zero or hold a null or non-finite component, link with nothing (n_links 0, their own
@@ -38,8 +41,10 @@ TABLES = 16
 CHUNK = 4096
 ROUNDS = 6
 BLOCK = 512
-AUDIT_QUERIES = 512
+#: Queries of a label at first, and at most; how many with links an audit takes.
+AUDIT_QUERIES, MOST_QUERIES, LINKED = 512, 8192, 32
 RECALL = 0.97
+PASSES = 4
 SLACK = 1e-12  # for the order of additions; links exactly at the threshold count
 
 
@@ -68,23 +73,24 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
 
 
 def hyperplane_pairs(reps: DataFrame, bits: int, tables: range) -> DataFrame:
-    """Candidate ``(u, v)``, u < v: neighbours along a projection inside a key."""
+    """Candidate ``(u, v)``, u < v: neighbours along a projection inside a key of the row's own ``bits``, at most ``bits``."""
 
     def keys(batches):
         planes = {}
         for batch in batches:
-            ids, labels, dims, units = (batch.column(k).to_pylist() for k in range(4))
+            ids, labels, dims, units, own = (batch.column(k).to_pylist() for k in range(5))
             for dim in set(dims):
                 if dim not in planes:
                     planes[dim] = [np.random.Generator(np.random.PCG64([t, dim])).standard_normal((dim, bits + 1)) for t in tables]
                 pick = [k for k, d in enumerate(dims) if d == dim]
+                mask = (1 << np.array([own[k] for k in pick], np.int64)) - 1
                 x = np.stack([np.frombuffer(units[k], "<f8") for k in pick])
                 for t, p in zip(tables, planes[dim]):
                     y = x @ p
-                    code = (y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    code = (y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) & mask
                     yield pa.RecordBatch.from_pandas(pd.DataFrame({"rep": np.array([ids[k] for k in pick], np.int64), "t": np.int32(t), "label": pd.array([str(labels[k]) for k in pick]), "dim": np.int32(dim), "code": code, "along": y[:, bits]}), preserve_index=False)
 
-    rows = reps.select("rep", "label", "dim", "unit").mapInArrow(keys, "rep long, t int, label string, dim int, code long, along double")
+    rows = reps.select("rep", "label", "dim", "unit", "bits").mapInArrow(keys, "rep long, t int, label string, dim int, code long, along double")
     key = ["t", "label", "dim", "code"]
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     chunked = rows.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64("rep", "t"), F.ceil(F.col("n") / CHUNK)))
@@ -155,27 +161,65 @@ def pool_counts(members: DataFrame) -> DataFrame:
     return sent.groupBy("pool", "i", "j").applyInPandas(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def audit(reps: DataFrame, found: DataFrame) -> float:
-    """Share of the links of a bounded set of queries, by comparison with all rows, that ``found (rep, n)`` has."""
-    queries = reps.orderBy(F.xxhash64(F.lit("audit"), "rep")).limit(AUDIT_QUERIES).select("rep", "label", "dim", "unit").toPandas()
-    groups = {k: (g.rep.to_numpy(), np.stack([np.frombuffer(u, "<f8") for u in g.unit])) for k, g in queries.groupby(["label", "dim"])}
-    shared = reps.sparkSession.sparkContext.broadcast(groups)
+def new_links(members: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between different components ``c`` of the members ``(rep, grp, c, unit)`` of a group, by blocks; one for each two components of a pair of blocks."""
+    counts = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "unit")
 
-    def count(batches):
-        for batch in batches:
-            frame, out = batch.to_pandas(), []
-            for k, g in frame.groupby(["label", "dim"]):
-                if k in shared.value:
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = frame[frame.block == frame.i.iloc[0]], frame[frame.block == frame.j.iloc[0]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        x, y = (np.frombuffer(b"".join(s.unit), "<f8").reshape(len(s), -1) for s in (a, b))
+        u, v = np.nonzero((x @ y.T >= THRESHOLD - SLACK) & (a.c.to_numpy()[:, None] != b.c.to_numpy()[None, :]))
+        out = pd.DataFrame({"a": a.rep.to_numpy()[u], "b": b.rep.to_numpy()[v], "ca": a.c.to_numpy()[u], "cb": b.c.to_numpy()[v]})
+        return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    return sent.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def audit(reps: DataFrame, found: DataFrame, pools: DataFrame) -> dict[int, float | None]:
+    """Recall of each group of ``reps`` with more than ``4 * BLOCK`` rows: the mean over queries with links, None where too few have any.
+
+    Queries are rows outside ``pools``, compared with all of their group; ``found (rep, n)`` is judged.
+    """
+    large = [r.grp for r in reps.where(F.col("size") > 4 * BLOCK).select("grp").distinct().collect()]
+    order = Window.partitionBy("grp").orderBy(F.xxhash64(F.lit("audit"), "rep"))
+    ranked = settle(reps.join(pools.select("rep"), "rep", "left_anti").withColumn("nth", F.row_number().over(order)))
+    out: dict[int, float | None] = dict.fromkeys(large)
+    left, first, last = large, 0, AUDIT_QUERIES
+    seen = {g: (0, 0.0) for g in large}
+    while left and first < MOST_QUERIES:
+        queries = ranked.where(F.col("grp").isin(left) & (F.col("nth") > first) & (F.col("nth") <= last)).select("rep", "grp", "unit").toPandas()
+        groups = {k: (g.rep.to_numpy(), np.stack([np.frombuffer(u, "<f8") for u in g.unit])) for k, g in queries.groupby("grp")}
+        shared = reps.sparkSession.sparkContext.broadcast(groups)
+
+        def count(batches, shared=shared):
+            for batch in batches:
+                frame = batch.to_pandas()
+                for k, g in frame.groupby("grp"):
+                    if k not in shared.value:
+                        continue
                     ids, q = shared.value[k]
-                    link = q @ np.stack([np.frombuffer(u, "<f8") for u in g.unit]).T >= THRESHOLD - SLACK
-                    link &= ids[:, None] != g.rep.to_numpy()[None, :]
-                    out.append(pd.DataFrame({"rep": ids, "n": link @ g.copies.to_numpy()}))
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-
-    true = reps.select("rep", "label", "dim", "unit", "copies").mapInArrow(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).where("n > 0")
-    row = true.join(found.select("rep", F.col("n").alias("m")), "rep", "left").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("m"), F.sum("n").alias("n")).first()
-    return 1.0 if not row.n else row.m / row.n
+                    x = np.stack([np.frombuffer(u, "<f8") for u in g.unit])
+                    for at in range(0, len(ids), BLOCK):
+                        link = q[at : at + BLOCK] @ x.T >= THRESHOLD - SLACK
+                        link &= ids[at : at + BLOCK, None] != g.rep.to_numpy()[None, :]
+                        n = link @ g.copies.to_numpy()
+                        yield pa.RecordBatch.from_pandas(pd.DataFrame({"rep": ids[at : at + BLOCK], "grp": np.int64(k), "n": n})[n > 0], preserve_index=False)
+
+        true = reps.where(F.col("grp").isin(left)).select("rep", "grp", "unit", "copies").mapInArrow(count, "rep long, grp long, n long").groupBy("rep", "grp").agg(F.sum("n").alias("n"))
+        share = F.least("n", F.coalesce("m", F.lit(0))) / F.col("n")
+        rows = true.join(found.select("rep", F.col("n").alias("m")), "rep", "left").groupBy("grp").agg(F.count(F.lit(1)).alias("linked"), F.sum(share).alias("share")).collect()
+        for r in rows:
+            seen[r.grp] = (seen[r.grp][0] + r.linked, seen[r.grp][1] + r.share)
+        left = [g for g in left if seen[g][0] < LINKED and g in groups]
+        first, last = last, last * 4
+    for g in large:
+        if seen[g][0] >= LINKED:
+            out[g] = seen[g][1] / seen[g][0]
+    return out
 
 
 def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", label_col="label") -> DataFrame:
@@ -186,8 +230,9 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     classes = settle(units.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     firsts = units.select("vec_id", *key, "unit").dropDuplicates(["vec_id", *key])
     reps = settle(firsts.join(classes, [*key]).where("vec_id = rep").select("rep", "label", "dim", "unit", "copies"))
-    n, labels = reps.count(), max(reps.select("label").distinct().count(), 1)
-    bits = min(40, max(2, math.ceil(math.log2(max(n / labels, 1)))))
+    group = reps.groupBy("label", "dim").agg(F.min("rep").alias("grp"), F.count(F.lit(1)).alias("size"))
+    reps = settle(reps.join(group, ["label", "dim"]).withColumn("bits", F.least(F.lit(40), F.greatest(F.lit(2), F.ceil(F.log2("size")))).cast("int")))
+    bits = reps.agg(F.max("bits")).first()[0] or 2
 
     edges, more = None, 0
     while True:
@@ -197,14 +242,26 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
         links = settle(edges.where(F.col("cos") >= THRESHOLD - SLACK))
         comps = settle(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
         saturated = nearest(links).where(F.col("nth") == K).select("u")
-        pools = comps.join(comps.join(saturated, F.col("node") == F.col("u")).select(F.col("component").alias("pool")).distinct(), F.col("component") == F.col("pool")).select(F.col("node").alias("rep"), "pool")
+        pools = settle(comps.join(comps.join(saturated, F.col("node") == F.col("u")).select(F.col("component").alias("pool")).distinct(), F.col("component") == F.col("pool")).select(F.col("node").alias("rep"), "pool"))
         full = pool_counts(reps.join(pools, "rep"))
         few = both_ways(links).select("u", "v").distinct().join(reps.select(F.col("rep").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("n")).select(F.col("u").alias("rep"), "n")
         found = settle(few.join(pools, "rep", "left_anti").union(full))
         more += 1
-        if more == 4 or audit(reps, found) >= RECALL:
+        recall = audit(reps, found, pools)
+        poor = [g for g, r in recall.items() if r is not None and r < RECALL]
+        if more == PASSES or not poor:
             break
 
+    sure = [g for g, r in recall.items() if r is not None and r >= RECALL]
+    exact = reps.where(~F.col("grp").isin(sure))
+    if not exact.isEmpty():
+        placed = exact.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "grp", F.coalesce("component", "rep").alias("c"), "unit")
+        ties = settle(new_links(placed))
+        if not ties.isEmpty():
+            comps = settle(components(links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(ties)))
+        counted = pool_counts(exact.select("rep", F.col("grp").alias("pool"), "label", "unit", "copies"))
+        found = settle(found.join(exact.select("rep"), "rep", "left_anti").union(counted))
+
     member = units.join(classes, key).select(F.col("vec_id").alias("id"), "rep", "copies").dropDuplicates(["id"])
     linked = member.join(found, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select("id", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = given.select("vec_id").join(linked, F.col("vec_id") == F.col("id"), "left")

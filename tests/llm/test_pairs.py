@@ -154,6 +154,21 @@ def test_embedding_links_against_all_pairs(spark, monkeypatch):
     assert all(got[k].n_links == n[k] for k in got if n[k] >= 30)
 
 
+def test_embedding_links_the_search_misses_are_found_exactly(spark, monkeypatch):
+    """Every start pair is lost: labels, hot or with rare links, are then compared in full."""
+    monkeypatch.setattr(nndescent, "BLOCK", 16)
+    monkeypatch.setattr(nndescent, "PASSES", 2)
+    monkeypatch.setattr(nndescent, "hyperplane_pairs", lambda reps, bits, tables: reps.select(nndescent.F.col("rep").alias("u"), nndescent.F.col("rep").alias("v")).limit(0))
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.standard_normal(16).tolist(), 0) for k in range(150)] + [(150 + k, rng.standard_normal(16).tolist(), 1) for k in range(100)]
+    rows += [(300 + k, (np.array(rows[k][1]) + rng.standard_normal(16) * 0.05).tolist(), rows[k][2]) for k in [*range(60), 200]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    n, component = brute_links(rows)
+    got = {r.vec_id: r for r in nndescent.near_duplicates(df).collect()}
+    assert sum(n) >= 100 and [got[i].n_links for i, _, _ in rows] == n
+    assert [got[i].component_id for i, _, _ in rows] == [rows[component[k]][0] for k in range(len(rows))]
+
+
 def test_embedding_links_empty_and_repeated(spark):
     schema = "vec_id long, embedding array<float>, label string"
     assert nndescent.near_duplicates(spark.createDataFrame([], schema)).count() == 0
