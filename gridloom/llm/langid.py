@@ -5,7 +5,8 @@ documents. A word's likelihood under a language is the product over its grams; a
 mixture of words from several languages, and expectation-maximisation estimates the
 proportions. The set of languages is chosen among the nested sets of most likely languages
 by log-likelihood less ``penalty`` per language, so a text gets a second language only if
-that explains enough of its words.
+that explains enough of its words. Sets grow to all languages; a text is left out only of
+those too large to win (a fit is at most 0, each word being measured against its best).
 
 All training documents are counted in their tasks (one sparse table per task and language
 is sent on, and summed by Spark); the model has ``languages x 2**BITS`` entries and is what
@@ -31,7 +32,6 @@ from gridloom.llm.textcodes import _BLANK, _LOWER, Words, word_batches
 BITS = 16
 SMOOTH = 0.1
 PENALTY = 4.0
-MAX_SET = 3
 ROUNDS, SET_ROUNDS = 8, 8
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -113,16 +113,23 @@ def infer(words: Words, logp: np.ndarray, penalty: float = PENALTY) -> np.ndarra
     theta, _ = _em(like, weight, doc, begin, np.full((len(begin), k), 1 / k, np.float32), ROUNDS)
     order = np.argsort(-theta, axis=1, kind="stable")
     best, best_score = None, None
-    for size in range(1, min(MAX_SET, k) + 1):
+    for size in range(1, k + 1):
         allowed = np.zeros_like(theta)
         np.put_along_axis(allowed, order[:, :size], np.float32(1 / size), 1)
-        fitted, fit = _em(like, weight, doc, begin, allowed, SET_ROUNDS if size > 1 else 0)
-        score = fit - penalty * size
         if best is None:
-            best, best_score = fitted, score
-        else:
-            better = score > best_score
-            best[better], best_score[better] = fitted[better], score[better]
+            best, fit = _em(like, weight, doc, begin, allowed, 0)
+            best_score = fit - penalty
+            continue
+        able = best_score < -penalty * size
+        if not able.any():
+            break
+        rows, at = able[doc], (np.cumsum(able) - 1)[doc]
+        at = at[rows]
+        fitted, fit = _em(like[rows], weight[rows], at, np.flatnonzero(np.diff(at, prepend=-1)), allowed[able], SET_ROUNDS)
+        score = fit - penalty * size
+        better = score > best_score[able]
+        which = np.flatnonzero(able)[better]
+        best[which], best_score[which] = fitted[better], score[better]
     out[which_doc] = best
     return out
 

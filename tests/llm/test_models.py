@@ -41,6 +41,21 @@ def test_languages(spark, tongues):
     assert by[2004].lang_pred != "und" and by[2006].lang_pred != "und"
 
 
+def test_a_text_can_have_all_languages():
+    rng = np.random.default_rng(4)
+    logp = np.log(rng.dirichlet(np.full(1 << langid.BITS, 0.02), 5) + 1e-12).astype(np.float32)
+    (words,) = word_batches([" ".join(f"{k}{chr(97 + k % 26)}x" for k in range(1000)), "one", ""])
+    pick, _, _ = langid._distinct(words)
+    bucket, begin = langid._grams(words, pick)
+    for k, (x, y) in enumerate(zip(begin, np.append(begin[1:], len(bucket)))):
+        logp[:, bucket[x:y]] = -20
+    for k, (x, y) in enumerate(zip(begin, np.append(begin[1:], len(bucket)))):
+        logp[k % 5, bucket[x:y]] = -2
+    theta = langid.infer(words, logp)
+    assert (theta[0] > 0.05).all() and abs(theta[0].sum() - 1) < 1e-3
+    assert (theta[1] > 0.001).sum() == 1 and not theta[2].any()
+
+
 def test_em_matches_a_plain_version():
     rng = np.random.default_rng(1)
     like, weight = rng.random((7, 3)).astype(np.float32), np.array([1, 2, 1, 5, 1, 1, 3], np.float32)
