@@ -1,7 +1,10 @@
 """Benchmark decontamination: q-gram lemma filter in diagonal bands, banded alignment.
 
-A benchmark item is cut into windows of up to ``WINDOW`` characters; a document leaks an
-item if it holds a window within ``edits(window)`` edits. Texts are compared in a plain
+A benchmark item is cut into windows of two sizes: up to ``WINDOW`` characters, overlapping
+by half, and ``SHORT`` characters, one every ``STRIDE``; a document leaks an item if it holds
+a window within ``edits(window)`` edits. So every verbatim passage of ``SHORT + STRIDE - 1``
+(74) characters of an item is found wherever it begins, and items of ``MIN_CHARS`` to
+``WINDOW`` characters are looked for whole as well. Texts are compared in a plain
 form: lower case, anything but letters and digits a single blank.
 
 * A window of m characters within e edits of a stretch of text shares at least
@@ -32,9 +35,10 @@ from gridloom.llm.common import table
 
 Q = 10
 WINDOW = 120
+SHORT, STRIDE = 60, 15
 MIN_CHARS = 40
 EDIT_SHARE = 0.08
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_500_000
 SLICE_CHARS = 1 << 20
 _FILTER_BITS = 22
 _COUNT_BITS = 20
@@ -68,11 +72,12 @@ def edits(m: int) -> int:
 
 
 def windows_of(text: str) -> list[str]:
-    """Windows that cover ``text``, overlapping by half; a short text is one."""
-    if len(text) <= WINDOW:
-        return [text]
-    starts = list(range(0, len(text) - WINDOW, WINDOW // 2)) + [len(text) - WINDOW]
-    return [text[s : s + WINDOW] for s in starts]
+    """The windows of both sizes; each size covers ``text``, and a shorter text is one."""
+    out = []
+    for size, stride in ((WINDOW, WINDOW // 2), (SHORT, STRIDE)):
+        starts = [*range(0, len(text) - size, stride), max(len(text) - size, 0)]
+        out += [text[s : s + size] for s in starts]
+    return list(dict.fromkeys(out))
 
 
 def _codes(text: str) -> np.ndarray:

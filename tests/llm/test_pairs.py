@@ -231,6 +231,18 @@ def test_decontamination_against_full_alignment(spark):
     assert decontaminate.leaks(given, benchmark.limit(0)).count() == 0 and decontaminate.decontaminated(given, benchmark.limit(0)).count() == given.count()
 
 
+def test_verbatim_passages_are_found_wherever_they_begin():
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop    ") for _ in range(n))
+    item = " ".join(prose(400).split())
+    index = decontaminate.build_index([(7, item)])
+    least = decontaminate.SHORT + decontaminate.STRIDE - 1
+    assert least == 74
+    texts = [prose(200) + " " + item[k : k + least] + " " + prose(200) for k in range(len(item) - least + 1) if " " not in (item[k], item[k + least - 1])]
+    assert len(texts) > 100 and {d for d, *_ in decontaminate.find(texts, index)} == set(range(len(texts)))
+    assert not decontaminate.find([prose(5000)], index)
+
+
 def test_benchmark_in_several_blocks(spark):
     items = spark.createDataFrame([(k, f"item number {k} says that " + " ".join(f"z{k}y{j}" for j in range(20))) for k in range(9)], "item_id long, text string")
     assert [len(b) for b in decontaminate.benchmark_blocks(items, limit=300)] != [9]
