@@ -1,31 +1,34 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 Every word of a text is predicted from the ``SIDE`` words on either side of it: their
-vectors, one table a place, are summed, squashed, and a two-level softmax (group, then word
-in the group) gives the probability of the masked word. A text's score is the sum of these
-conditional log-probabilities, and their mean a word.
-
-Word counts are gathered over the whole corpus. Words counted ``LEAST`` times or more get
-codes of their own, the most frequent ``SCALE * sqrt(tokens)`` of them (960 at least), so
-vocabulary and network follow the corpus. Every other word is told by its length's code and
-then spelled: a byte model, each byte given the two before it, counted over all such words,
-whose probabilities sum to 1 over the words of that length outside the vocabulary. So a
-score is that of the token, and a rare word that looks like none of the corpus scores low.
-
-Every scan task then trains a copy of the network from one starting point on all its
-documents (plain SGD, in numpy; every word is masked and predicted once a round) and sends
-it on once; Spark averages the copies, weighted by words. ``EPOCHS`` such rounds are made. So what training reads and gathers grows with the corpus, and no task sees more
-than its own split.
+vectors go through one matrix and a squashing function, and the result walks down a Huffman
+tree of the vocabulary, so that the probabilities of all codes sum to 1 and a word costs
+about as many products as its code has bits. A text's score is the sum of these conditional
+log-probabilities, and their mean a word.
+
+1. Words are counted over the whole corpus. Those counted ``LEAST`` times or more get codes
+   of their own, the most frequent ``SCALE * sqrt(tokens)`` of them (``VOCAB`` at least,
+   ``MOST`` at most: what executors get is bounded). Every other word has the code of its
+   length, and under it a probability of its own: its count in the *other* texts, discounted,
+   and for the rest a byte model (each byte given the two before it). Those counts are
+   joined, not broadcast. So no word is only a class, and a text does not vouch for itself.
+2. Texts become rows of codes, written once; training and scoring read those.
+3. Rows are dealt to shards of about ``SHARD`` tokens a vocabulary word by a hash of the
+   row, and inside a shard sorted by it. Every token is a target once: in each of ``TURNS``
+   rounds all shards start from one network, train it on their part of that round (numpy,
+   Adagrad), and the networks are averaged, each row by how much the shards had to say about
+   it; sums go up a tree of groups of ``FAN``. Shards depend on the rows alone, and sums are
+   made in order, so the same table gives the same scores however it is split.
 
 Cases: null texts and texts without a word have 0 words, score 0 and a null mean; places
-before and after a text are an own code. Repeated rows are scored each. An empty table
-gives an empty result.
+before and after a text are an own code. Repeated rows are scored each, and count for each
+other. Null ids are ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +38,26 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import settle, table
 from gridloom.llm.textcodes import _BLANK, _LOWER, word_batches
 
-#: The least network has 32 groups of 32 codes; larger ones are square too.
-GROUPS = 32
-SLOTS = 32
 #: Codes of words out of the vocabulary: one for each length in bytes, the last for all from ``OTHER`` on.
 OTHER = 64
-VOCAB = GROUPS * SLOTS - OTHER
-PAD = GROUPS * SLOTS
+VOCAB, MOST = 960, 65_000
 LEAST = 5
 SCALE = 2
+#: What is taken off each count for words not seen elsewhere.
+DISCOUNT = 0.75
 #: Spelling contexts: the byte before, and the one before that by its last bits.
 BEFORE = 16
 SIDE = 2
 WIDTH = 16
-RATE = 0.5
+#: The heaviest nodes of the tree are compared with every word in one product, the others one by one.
+TOP = 24
+RATE = 0.15
 STEP = 4096
-SLICE = 1 << 14
-#: Floats of the network in a row that a task sends.
-CHUNK = 1 << 12
-EPOCHS = 1
+SHARD = 400
+TURNS = 4
+FAN = 64
+#: Rows of the network in a message.
+CHUNK = 1 << 10
 
 
 def _cells(data: np.ndarray) -> np.ndarray:
@@ -65,18 +69,28 @@ def _cells(data: np.ndarray) -> np.ndarray:
     return (one * BEFORE + two % BEFORE) * 256 + b
 
 
+def length_class(size: np.ndarray) -> np.ndarray:
+    return np.minimum(size, OTHER) - 1
+
+
 @dataclass
 class Vocabulary:
-    """Hashes of the words with codes, most frequent first, and the spelling of all others."""
+    """Hashes and counts of the words with codes, most frequent first, and the spelling of all others."""
 
     hashes: np.ndarray
+    counts: np.ndarray
     spelling: np.ndarray  # log-probability of each cell
     rest: np.ndarray  # for each length, log of what vocabulary words leave of its spellings
     longer: float  # chance that a word of ``OTHER`` bytes or more has another
+    others: np.ndarray = field(default_factory=lambda: np.zeros(OTHER, np.int64))  # tokens of each length out of the vocabulary
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(OTHER, np.int64))  # and different words
 
     @property
-    def side(self) -> int:
-        return max(GROUPS, math.isqrt(max(len(self.hashes) + OTHER - 1, 0)) + 1)
+    def codes(self) -> int:
+        return len(self.hashes) + OTHER
+
+    def code_counts(self) -> np.ndarray:
+        return np.concatenate([self.counts, self.others])
 
     def _spelled(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         if not len(begin):
@@ -86,8 +100,15 @@ class Vocabulary:
         return total + np.where(beyond >= 0, beyond * math.log(self.longer) + math.log1p(-self.longer), 0.0)
 
     def spelled(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Log-probability of words out of the vocabulary, given their length's code."""
-        return self._spelled(data, begin, end) - self.rest[np.minimum(end - begin, OTHER) - 1]
+        """Log-probability of the spelling of words out of the vocabulary, given their length's code."""
+        return self._spelled(data, begin, end) - self.rest[length_class(end - begin)]
+
+    def back_off(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words out of the vocabulary: what spelling adds to a discounted count, and the log of what their sum is a share of."""
+        at = length_class(end - begin)
+        seen = self.others[at] > 0
+        add = np.where(seen, DISCOUNT * self.kinds[at], 1.0) * np.exp(self.spelled(data, begin, end))
+        return np.maximum(add, 1e-300), np.log(np.where(seen, self.others[at], 1.0))
 
 
 def _joined(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -96,269 +117,425 @@ def _joined(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, end - n, end
 
 
-def spell_model(rows, excess: int, longer: int, words: list[bytes], hashes: np.ndarray) -> Vocabulary:
+def spell_model(rows, excess: int, longer: int, words: list[bytes], hashes: np.ndarray, counts: np.ndarray | None = None) -> Vocabulary:
     """``rows``: cells and counts over all words but ``words``; ``longer`` of them have ``OTHER`` bytes or more, ``excess`` bytes beyond that together."""
-    counts = np.zeros(256 * BEFORE * 256)
-    counts[rows[0]] = rows[1]
-    counts = counts.reshape(256, BEFORE, 256)
+    cells = np.zeros(256 * BEFORE * 256)
+    cells[rows[0]] = rows[1]
+    cells = cells.reshape(256, BEFORE, 256)
     base = np.array([not _BLANK[c] and _LOWER[c] == c for c in range(256)], float)
     base /= base.sum()
-    pair = counts.sum(1)
+    pair = cells.sum(1)
     pair = (pair + 4 * base) / (pair.sum(1, keepdims=True) + 4)
-    p = (counts + 4 * pair[:, None, :]) / (counts.sum(2, keepdims=True) + 4)
-    out = Vocabulary(hashes, np.log(np.maximum(p, 1e-300)).astype(np.float32).ravel(), np.zeros(OTHER), (excess + 1) / (excess + longer + 2))
+    p = (cells + 4 * pair[:, None, :]) / (cells.sum(2, keepdims=True) + 4)
+    out = Vocabulary(hashes, np.ones(len(hashes), np.int64) if counts is None else counts, np.log(np.maximum(p, 1e-300)).astype(np.float32).ravel(), np.zeros(OTHER), (excess + 1) / (excess + longer + 2))
     data, begin, end = _joined(words)
-    taken = np.bincount(np.minimum(end - begin, OTHER) - 1, np.exp(out._spelled(data, begin, end)), OTHER) if words else np.zeros(OTHER)
+    taken = np.bincount(length_class(end - begin), np.exp(out._spelled(data, begin, end)), OTHER) if words else np.zeros(OTHER)
     out.rest = np.log(np.maximum(1 - taken, 1e-9))
     return out
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Words with codes (ties by word), and the spelling of the others, from all texts."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """``(text)`` to ``(word binary, n)``, written."""
 
     def count(batches):
         for batch in batches:
-            for words in word_batches(batch.column(0).to_pylist()):
+            for words in word_batches(batch.column(0).to_pylist(), limit=1 << 22):
                 if len(words.hashes):
                     _, pick, n = np.unique(words.hashes, return_index=True, return_counts=True)
                     low = words.data.lower()  # A-Z only
                     own = [low[x:y] for x, y in zip(words.begin[pick].tolist(), words.end[pick].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(n)], ["word", "n"])
 
-    counts = settle(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return settle(texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def _listed(batch: pa.RecordBatch):
+    """Slices of rows ``(word, ...)``: ``(from, to, text, begin, end, hashes)``."""
+    own = batch.column(0).to_pylist()
+    for k in range(0, len(own), 1 << 16):
+        data, begin, end = _joined(own[k : k + (1 << 16)])
+        (words,) = word_batches([data.decode("utf-8", "surrogatepass")], limit=1 << 62)
+        yield k, k + len(begin), data, begin, end, words.hashes
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """Words with codes (ties by word), and the spelling of the others, from ``(word, n)``."""
     tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    most = max(VOCAB, math.ceil(SCALE * math.sqrt(tokens)))
-    top = [bytes(r.word) for r in counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(most).collect()]
-    hashes = np.empty(0, np.uint64)
+    most = min(MOST, max(VOCAB, math.ceil(SCALE * math.sqrt(tokens))))
+    top = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(most).collect()
+    words, hashes = [bytes(r.word) for r in top], np.empty(0, np.uint64)
     if top:
-        (own,) = word_batches([(b" ".join(top)).decode("utf-8", "surrogatepass")], limit=1 << 62)
+        (own,) = word_batches([(b" ".join(words)).decode("utf-8", "surrogatepass")], limit=1 << 62)
         hashes = own.hashes
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hashes))
+    shared = counts.sparkSession.sparkContext.broadcast(np.sort(hashes))
 
     def spell(batches):
         total, excess, longer = np.zeros(256 * BEFORE * 256), 0, 0
+        others, kinds = np.zeros(OTHER, np.int64), np.zeros(OTHER, np.int64)
         for batch in batches:
-            own, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for k in range(0, len(own), 1 << 16):
-                data, begin, end = _joined(own[k : k + (1 << 16)])
-                (words,) = word_batches([data.decode("utf-8", "surrogatepass")], limit=1 << 62)
-                weight = n[k : k + (1 << 16)] * ~np.isin(words.hashes, shared.value)
-                size = end - begin
+            n = batch.column(1).to_numpy()
+            for x, y, data, begin, end, own in _listed(batch):
+                free = ~np.isin(own, shared.value)
+                weight, size = n[x:y] * free, end - begin
                 inside = np.ones(len(data), bool)
                 inside[end] = False
                 total += np.bincount(_cells(np.frombuffer(data, np.uint8))[inside], np.repeat(weight, size), len(total))
                 excess += int((np.maximum(size - OTHER, 0) * weight).sum())
                 longer += int(weight[size >= OTHER].sum())
+                others += np.bincount(length_class(size), weight, OTHER).astype(np.int64)
+                kinds += np.bincount(length_class(size), free, OTHER).astype(np.int64)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total[at], [excess, longer]).astype(np.int64))], ["cell", "n"])
+        more = np.concatenate([[-1, -2], -3 - np.arange(2 * OTHER)])  # single counts have cells below 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, more)), pa.array(np.concatenate([total[at], [excess, longer], others, kinds]).astype(np.int64))], ["cell", "n"])
 
-    rows = counts.mapInArrow(spell, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = counts.mapInArrow(spell, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most a row a cell
     cell, n = rows.cell.to_numpy(np.int64), rows.n.to_numpy(np.int64)
-    return spell_model((cell[cell >= 0], n[cell >= 0]), int(n[cell == -1].sum()), int(n[cell == -2].sum()), top, hashes)
+    single = np.zeros(2 + 2 * OTHER, np.int64)
+    single[-1 - cell[cell < 0]] = n[cell < 0]
+    out = spell_model((cell[cell >= 0], n[cell >= 0]), int(single[0]), int(single[1]), words, hashes, np.array([r.n for r in top], np.int64))
+    out.others, out.kinds = single[2 : 2 + OTHER], single[2 + OTHER :]
+    return out
 
 
 class Coder:
-    """Words to codes: rank r is word r // side of group r % side; the last ``OTHER`` ranks are those of lengths."""
+    """Words to codes: rank in the vocabulary, then the codes of lengths."""
 
-    def __init__(self, vocab: np.ndarray, side: int = GROUPS):
-        order = np.argsort(vocab)
-        self.keys, self.rank, self.side = vocab[order], order, side
+    def __init__(self, hashes: np.ndarray):
+        self.rank = np.argsort(hashes)
+        self.keys = hashes[self.rank]
 
-    def __call__(self, hashes: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
-        code, _ = self.codes(hashes, np.ones(len(hashes), np.int64) if sizes is None else sizes)
-        return code
-
-    def codes(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and which words are out of the vocabulary."""
-        rank, out = self.side**2 - OTHER + np.minimum(sizes, OTHER) - 1, np.ones(len(hashes), bool)
+        code, out = len(self.keys) + length_class(sizes), np.ones(len(hashes), bool)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             out = self.keys[at] != hashes
-            rank = np.where(out, rank, self.rank[at])
-        return (rank % self.side) * self.side + rank // self.side, out
-
-
-def shapes(side: int) -> dict[str, tuple]:
-    return {"place": (2 * SIDE, side * side + 1, WIDTH), "bias": (WIDTH,), "group": (side, WIDTH), "group_bias": (side,), "word": (side, side, WIDTH), "word_bias": (side, side)}
-
-
-def start(side: int = GROUPS, words: int | None = None) -> dict[str, np.ndarray]:
-    """The first network; codes that none of ``words`` words has get no probability."""
-    rng = np.random.default_rng(11)
-    net = {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 and "bias" not in k else 0)).astype(np.float32) for k, s in shapes(side).items()}
-    if words is not None:
-        free = np.arange(words, side * side - OTHER)
-        net["word_bias"][free % side, free // side] = -60
-    return net
+            code = np.where(out, code, self.rank[at])
+        return code.astype(np.uint16), out
 
 
-def pack(net: dict) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in shapes(len(net["group"]))])
-
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    side = GROUPS
-    while sum(map(math.prod, shapes(side).values())) < len(flat):
-        side += 1
-    out, at = {}, 0
-    for k, s in shapes(side).items():
-        n = math.prod(s)
-        out[k] = flat[at : at + n].reshape(s).copy()
-        at += n
-    return out
+def encode(docs: DataFrame, vocab: Vocabulary, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """``row, doc_id, n_words, codes binary``, and each text's different words out of the vocabulary with ``times``; written."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab.hashes)
 
+    def answer(batches):
+        coder = Coder(shared.value)
+        for batch in batches:
+            for words in word_batches(batch.column(1).to_pylist()):
+                codes, out = coder(words.hashes, words.end - words.begin)
+                doc, other = words.doc_of()[out], words.hashes[out]
+                order = np.lexsort((other, doc))
+                doc, other = doc[order], other[order]
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])])) if len(doc) else np.empty(0, np.int64)
+                offsets = pa.array(np.searchsorted(doc[new], np.arange(len(words) + 1)).astype(np.int32))
+                rows = [codes[a:b].tobytes() for a, b in zip(words.start[:-1].tolist(), words.start[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(words.first, len(words)), pa.array(np.diff(words.start)), pa.array(rows, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(other[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(new, append=len(doc)).astype(np.int32)))],
+                    ["doc_id", "n_words", "codes", "others", "times"],
+                )
 
-def contexts(codes: np.ndarray, words, pad: int = PAD) -> np.ndarray:
-    """Codes of the ``2 * SIDE`` neighbours of every word, ``pad`` beyond a text's ends."""
-    n, doc = len(codes), words.doc_of()
-    out = np.full((n, 2 * SIDE), pad, np.int64)
-    for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        a, b = max(0, -d), min(n, n - d)
-        if b > a:
-            same = doc[a:b] == doc[a + d : b + d]
-            out[a:b, k] = np.where(same, codes[a + d : b + d], pad)
-    return out
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(answer, f"doc_id {kind}, n_words long, codes binary, others array<long>, times array<int>")
+    return settle(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+class Tree:
+    """Huffman tree over the counts of codes; nodes are numbered by falling weight."""
+
+    def __init__(self, counts: np.ndarray):
+        weight = np.maximum(counts, 1).astype(np.int64)
+        n = len(weight)
+        order = np.argsort(weight, kind="stable")
+        leaves, inner = weight[order].tolist(), []
+        parent, turn = np.empty(2 * n - 1, np.int64), np.empty(2 * n - 1, np.int8)
+        i = j = 0
+        for k in range(n - 1):
+            total = 0
+            for side in (-1, 1):  # the lighter of the least leaf and the least node
+                if i < n and (j >= k or leaves[i] <= inner[j]):
+                    child, total, i = order[i], total + leaves[i], i + 1
+                else:
+                    child, total, j = n + j, total + inner[j], j + 1
+                parent[child], turn[child] = n + k, side
+            inner.append(total)
+        heavy = np.argsort(-np.array(inner, np.int64), kind="stable")
+        name = np.empty(n - 1, np.int64)
+        name[heavy] = np.arange(n - 1)
+        leaf, node, side = [], [], []
+        live, at = np.arange(n), np.arange(n)
+        while n > 1 and len(live):
+            leaf.append(live)
+            side.append(turn[at])
+            at = parent[at]
+            node.append(name[at - n])
+            live, at = live[at != 2 * n - 2], at[at != 2 * n - 2]
+        leaf, node, side = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (leaf, node, side))
+        right = np.bincount(node[side > 0], weight[leaf[side > 0]], n - 1)
+        self.log_odds = np.log((right + 0.5) / (np.array(inner, float)[heavy] - right + 0.5))
+        top = node < TOP
+        self.sign = np.zeros((n, min(TOP, n - 1)), np.int8)  # of each code at the top nodes; 0 off its path
+        self.sign[leaf[top], node[top]] = side[top]
+        leaf, node, side = leaf[~top], node[~top], side[~top]
+        order = np.argsort(leaf, kind="stable")
+        self.node, self.side = node[order].astype(np.uint16), side[order].astype(np.int8)
+        self.count = np.bincount(leaf, minlength=n)
+        self.begin = np.cumsum(self.count) - self.count
+
+
+def start(tree: Tree) -> dict[str, np.ndarray]:
+    """The first network: the nodes' own weights say what the counts say."""
+    rng, codes = np.random.default_rng(11), len(tree.count)
+    draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
+    node = draw(codes - 1, WIDTH + 1, by=0.05)
+    node[:, -1] = tree.log_odds
+    mix = draw(2 * SIDE * WIDTH + 1, WIDTH, by=0.25)
+    mix[-1] = 0
+    return {"context": draw(codes + 1, WIDTH, by=0.3), "mix": mix, "node": node}
+
+
+def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sum of the rows of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+_PLACES = [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]
+
+
+def predict(net: dict, tree: Tree, seq: np.ndarray, gradients: bool = False):
+    """Log-probability of each code of ``seq`` but the ``SIDE`` at either end, 0 where it is the place beside a text.
+
+    With ``gradients``, those of the sum instead: for each part of the network rows and what their derivatives add up to.
+    """
+    beside, m = len(tree.count), len(seq) - 2 * SIDE
+    seen = net["context"][seq]
+    places = np.flatnonzero(seq[SIDE : SIDE + m] != beside)
+    code = seq[SIDE : SIDE + m][places]
+    one = np.ones((m, 1), seen.dtype)
+    x = np.concatenate([*(seen[k : k + m] for k in _PLACES), one], 1)[places]
+    h = np.concatenate([np.tanh(x @ net["mix"]), one[: len(places)]], 1)
+    sign = tree.sign[code].astype(h.dtype)
+    wide = _exp_minus((h @ net["node"][: sign.shape[1]].T) * sign)
+    count = tree.count[code]
+    end = np.cumsum(count)
+    at = np.arange(end[-1] if len(end) else 0) + np.repeat(tree.begin[code] - (end - count), count)
+    node, side = tree.node[at], tree.side[at].astype(h.dtype)
+    h_of, node_of = h[np.repeat(np.arange(len(code)), count)], net["node"][node]
+    deep = _exp_minus(np.einsum("ij,ij->i", h_of, node_of) * side)
+    some = np.flatnonzero(count)
+    first = (end - count)[some]
+    if not gradients:
+        out = np.zeros(m, np.float64)
+        lp = -(np.log(1 + wide) * (sign != 0)).sum(1, dtype=np.float64)
+        if len(some):
+            lp[some] -= np.add.reduceat(np.log(1 + deep).astype(np.float64), first)
+        out[places] = lp
+        return out
+    wide = sign * (wide / (1 + wide))
+    dh = wide @ net["node"][: sign.shape[1]]
+    found = [("node", np.arange(sign.shape[1]), wide.T @ h)]
+    if len(some):
+        deep = (side * (deep / (1 + deep)))[:, None]
+        dh[some] += np.add.reduceat(deep * node_of, first, axis=0)
+        found.append(("node", *_sums(node, deep * h_of)))
+    dx = dh[:, :-1] * (1 - h[:, :-1] ** 2)
+    found.append(("mix", np.arange(len(net["mix"])), x.T @ dx))
+    back = np.zeros((m, x.shape[1] - 1), h.dtype)
+    back[places] = dx @ net["mix"][:-1].T
+    into = np.zeros((len(seq), WIDTH), h.dtype)
+    for k, p in enumerate(_PLACES):
+        into[p : p + m] += back[:, k * WIDTH : (k + 1) * WIDTH]
+    found.append(("context", *_sums(seq, into)))
+    return found
+
+
+def _exp_minus(x: np.ndarray) -> np.ndarray:
+    return np.exp(-np.clip(x, -30, 30))
+
+
+class Learner:
+    """Adagrad with a rate a row, over a stream of texts cut into steps of ``STEP`` places."""
+
+    def __init__(self, net: dict, steady: dict, tree: Tree):
+        self.net, self.steady, self.tree = {k: v.copy() for k, v in net.items()}, {k: v.copy() for k, v in steady.items()}, tree
+        self.gap = np.full(SIDE, len(tree.count), np.uint16)
+        self.held, self.size = [self.gap], SIDE
+
+    def step(self, seq: np.ndarray) -> None:
+        for name, rows, g in predict(self.net, self.tree, seq, gradients=True):
+            self.steady[name][rows] += (g * g).mean(1)
+            self.net[name][rows] += RATE * g / np.sqrt(self.steady[name][rows] + 1e-6)[:, None]
+
+    def add(self, codes: np.ndarray) -> None:
+        self.held += [codes, self.gap]
+        self.size += len(codes) + SIDE
+        if self.size >= 16 * STEP:
+            self._work(False)
+
+    def end(self) -> None:
+        self._work(True)
+
+    def _work(self, all_of_it: bool) -> None:
+        seq = np.concatenate(self.held)
+        k = SIDE
+        while k + STEP + SIDE <= len(seq):
+            self.step(seq[k - SIDE : k + STEP + SIDE])
+            k += STEP
+        if all_of_it and k + SIDE < len(seq):
+            self.step(seq[k - SIDE :])
+        self.held, self.size = [seq[k - SIDE :]], len(seq) - k + SIDE
+
+
+def _table(net: dict, steady: dict) -> np.ndarray:
+    """All rows of a network one under another, the sums of their squares last."""
+    return np.concatenate([np.pad(np.column_stack([v, np.zeros((len(v), WIDTH + 1 - v.shape[1]), v.dtype)]), ((0, 0), (0, 1))) + np.outer(steady[k], np.eye(WIDTH + 2)[-1]) for k, v in net.items()]).astype(np.float32)
+
+
+def _untable(rows: np.ndarray, like: dict) -> tuple[dict, dict]:
+    net, steady, at = {}, {}, 0
+    for k, v in like.items():
+        net[k], steady[k] = rows[at : at + len(v), : v.shape[1]].astype(np.float32), rows[at : at + len(v), -1].astype(np.float32)
+        at += len(v)
+    return net, steady
+
+
+def train_turn(dealt: DataFrame, tree: Tree, net: dict, steady: dict, shards: int) -> tuple[dict, dict]:
+    """The networks that shards ``(shard, nth, codes)`` make of ``net``, averaged."""
+    shared = dealt.sparkSession.sparkContext.broadcast((tree, net, steady))
+
+    def told(shard: int, learner: Learner):
+        learner.end()
+        _, net, steady = shared.value
+        old = _table(net, steady)
+        new = _table(learner.net, learner.steady) - old
+        weight = new[:, -1:].astype(np.float64)
+        sums = np.concatenate([new[:, :-1] * weight, weight, weight * weight], 1).astype(np.float32)
+        for k in range(0, len(sums), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([shard]), pa.array([sums[k : k + CHUNK].astype("<f8").tobytes()], pa.binary())], ["at", "shard", "part"])
 
+    def learn(batches):
+        tree, net, steady = shared.value
+        now, learner = None, None
+        for batch in batches:
+            for shard, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard != now:
+                    if learner is not None:
+                        yield from told(now, learner)
+                    now, learner = shard, Learner(net, steady, tree)
+                learner.add(np.frombuffer(codes, np.uint16))
+        if learner is not None:
+            yield from told(now, learner)
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("shard")
+        total = sum(np.frombuffer(x.as_py(), "<f8") for x in rows.column("part"))
+        return pa.table({"at": rows.column("at").slice(0, 1), "shard": pa.array([rows.column("shard")[0].as_py() // FAN]), "part": pa.array([total.tobytes()], pa.binary())})
+
+    sorted_rows = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("nth", "codes")
+    parts = sorted_rows.select("shard", "codes").mapInArrow(learn, "at long, shard long, part binary")
+    while shards > 1:
+        parts = parts.groupBy("at", F.floor(F.col("shard") / FAN).alias("up")).applyInArrow(add_up, "at long, shard long, part binary")
+        shards = -(-shards // FAN)
+    total = np.zeros((sum(map(len, net.values())), WIDTH + 3))
+    for row in parts.collect():  # the size of one network
+        total[row.at : row.at + CHUNK] = np.frombuffer(row.part, "<f8").reshape(-1, WIDTH + 3)
+    weight = np.maximum(total[:, -2], 1e-300)
+    rows = _table(net, steady).astype(np.float64)
+    rows[:, :-1] += total[:, :-2] / weight[:, None]
+    rows[:, -1] += total[:, -1] / weight
+    return _untable(rows, net)
 
-def hidden(net: dict, context: np.ndarray) -> np.ndarray:
-    x = net["bias"] + net["place"][0][context[:, 0]]
-    for k in range(1, 2 * SIDE):
-        x += net["place"][k][context[:, k]]
-    return np.tanh(x)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
-
-
-def log_probabilities(net: dict, codes: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Of each word given its neighbours."""
-    out, groups, slots = np.empty(len(codes), np.float32), *net["word_bias"].shape
-    for k in range(0, len(codes), SLICE):
-        order = np.argsort(codes[k : k + SLICE], kind="stable")
-        c = codes[k : k + SLICE][order]
-        h = hidden(net, context[k : k + SLICE][order])
-        group, slot = c // slots, c % slots
-        lp = _log_at(h @ net["group"].T + net["group_bias"], group)
-        edges = np.searchsorted(group, np.arange(groups + 1))
-        for g, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-            if y > x:
-                lp[x:y] += _log_at(h[x:y] @ net["word"][g].T + net["word_bias"][g], slot[x:y])
-        out[k + order] = lp
-    return out
 
+@dataclass
+class Model:
+    vocab: Vocabulary
+    tree: Tree
+    net: dict
+    counts: DataFrame  # (word, n) of the corpus
+
+
+def train(docs: DataFrame, *, id_col="doc_id", text_col="text") -> tuple[Model, DataFrame]:
+    """The model, and the encoded rows it was trained on."""
+    counts = count_words(docs.select(F.col(text_col).alias("text")))
+    vocab = vocabulary(counts)
+    rows = encode(docs, vocab, id_col=id_col, text_col=text_col)
+    tree = Tree(vocab.code_counts())
+    net = start(tree)
+    steady = {k: np.zeros(len(v), np.float32) for k, v in net.items()}
+    shards = max(1, round(int(vocab.code_counts().sum()) / (SHARD * vocab.codes)))
+    by = F.xxhash64("doc_id", "codes")
+    dealt = rows.where("n_words > 0").select(F.pmod(by, F.lit(shards)).alias("shard"), F.xxhash64(F.lit("order"), by).alias("nth"), F.pmod(F.xxhash64(F.lit("turn"), by), F.lit(TURNS)).alias("turn"), "codes")
+    for turn in range(TURNS):
+        net, steady = train_turn(dealt.where(F.col("turn") == turn).drop("turn"), tree, net, steady, shards)
+    return Model(vocab, tree, net, counts), rows
+
+
+def network_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """``row, doc_id, n_words, codes_log_likelihood`` of encoded rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.tree, model.net))
 
-def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at one place; rows come from squashed sums, so their exponentials stay finite."""
-    np.clip(x, -80, 80, out=x)
-    mine = x[np.arange(len(x)), at]
-    return mine - np.log(np.exp(x, out=x).sum(1))
-
-
-def train_step(net: dict, codes: np.ndarray, context: np.ndarray, rate: float) -> None:
-    """One step of gradient descent on some words."""
-    n, (groups, slots) = len(codes), net["word_bias"].shape
-    order = _order(codes // slots, groups)
-    codes, context = codes[order], context[order]
-    h = hidden(net, context)
-    group, slot = codes // slots, codes % slots
-    p = _softmax(h @ net["group"].T + net["group_bias"])
-    p[np.arange(n), group] -= 1
-    dh = p @ net["group"]
-    net["group"] -= rate / n * (p.T @ h)
-    net["group_bias"] -= rate / n * p.sum(0)
-    edges = np.searchsorted(group, np.arange(groups + 1)).tolist()
-    for g, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
-        if y == x:
-            continue
-        own, word = h[x:y], net["word"][g]
-        q = _softmax(own @ word.T + net["word_bias"][g])
-        q[np.arange(y - x), slot[x:y]] -= 1
-        dh[x:y] += q @ word
-        q *= rate / (y - x)
-        word -= q.T @ own
-        net["word_bias"][g] -= q.sum(0)
-    dx = dh * (1 - h * h)
-    net["bias"] -= rate / n * dx.sum(0)
-    for k in range(2 * SIDE):  # a code's vector moves by the mean over its places in the step
-        by = _order(context[:, k], groups * slots + 1)
-        at = context[by, k]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        count = np.diff(first, append=n)
-        total = np.add.reduceat(dx[by], first, axis=0)
-        net["place"][k][at[first]] -= (rate / np.maximum(count, 32)).astype(np.float32)[:, None] * total
-
-
-def _order(x: np.ndarray, below: int) -> np.ndarray:
-    return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
-
-
-def train_round(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> np.ndarray:
-    """The average of the networks that the scan's tasks make of ``flat``, weighted by words."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, flat))
-    size = len(flat)
+    def answer(batches):
+        tree, net = shared.value
+        gap = np.full(SIDE, len(tree.count), np.uint16)
+        for batch in batches:
+            codes = [np.frombuffer(c, np.uint16) for c in batch.column(3).to_pylist()]
+            first = 0
+            while first < len(codes):  # texts of about 16 steps at a time; a long one by itself
+                last, size = first, 0
+                while last < len(codes) and size < 16 * STEP:
+                    size, last = size + len(codes[last]), last + 1
+                seq = np.concatenate([gap, *(x for c in codes[first:last] for x in (c, gap))])
+                lp = np.concatenate([predict(net, tree, seq[k : k + STEP + 2 * SIDE]) for k in range(0, len(seq) - 2 * SIDE, STEP)] or [np.zeros(0)])
+                bounds = np.cumsum([0, *(len(c) + SIDE for c in codes[first:last])])
+                upto = np.concatenate([[0.0], np.cumsum(np.append(lp, np.zeros(SIDE)))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in range(3)), pa.array(upto[bounds[1:]] - upto[bounds[:-1]])], ["row", "doc_id", "n_words", "net"])
+                first = last
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("row", "doc_id", "n_words", "codes").mapInArrow(answer, f"row long, doc_id {kind}, n_words long, net double")
+
+
+def lexicon(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(word, n)`` to ``hash, n, add, log_of`` of the words out of the vocabulary."""
+    shared = counts.sparkSession.sparkContext.broadcast(vocab)
 
-    def learn(batches):
-        vocab, flat = shared.value
-        coder, net, seen = Coder(vocab.hashes, vocab.side), unpack(flat), 0
+    def answer(batches):
+        vocab = shared.value
+        known = np.sort(vocab.hashes)
         for batch in batches:
-            for words in word_batches(batch.column(0).to_pylist()):
-                codes = coder(words.hashes, words.end - words.begin)
-                context = contexts(codes, words, vocab.side**2)
-                for k in range(0, len(codes), STEP):
-                    train_step(net, codes[k : k + STEP], context[k : k + STEP], RATE)
-                seen += len(codes)
-        if seen:
-            own = pack(net)
-            for k in range(0, size, CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([own[k : k + CHUNK].tobytes()], pa.binary()), pa.array([seen])], ["at", "part", "seen"])
-
-    def average(rows: pa.Table) -> pa.Table:
-        seen = rows.column("seen").to_numpy().astype(np.float64)
-        total = 0.0
-        for part, n in zip(rows.column("part"), seen):
-            total = total + np.frombuffer(part.as_py(), np.float32) * n
-        return pa.table({"at": rows.column("at").slice(0, 1), "part": pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(learn, "at long, part binary, seen long")
-    out = flat.copy()
-    for row in parts.groupBy("at").applyInArrow(average, "at long, part binary").collect():
-        out[row.at : row.at + CHUNK] = np.frombuffer(row.part, np.float32)
-    return out
+            n = batch.column(1).to_numpy()
+            for x, y, data, begin, end, own in _listed(batch):
+                free = ~np.isin(own, known)
+                add, log_of = vocab.back_off(data, begin[free], end[free])
+                yield pa.RecordBatch.from_arrays([pa.array(own[free].view(np.int64)), pa.array(n[x:y][free]), pa.array(add), pa.array(log_of)], ["hash", "n", "add", "log_of"])
 
+    return counts.select("word", "n").mapInArrow(answer, "hash long, n long, add double, log_of double")
 
-def score(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, n_words, log_likelihood, mean_log_likelihood`` for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, flat))
 
-    def answer(batches):
-        vocab, flat = shared.value
-        coder, net = Coder(vocab.hashes, vocab.side), unpack(flat)
-        for batch in batches:
-            for words in word_batches(batch.column(1).to_pylist()):
-                codes, out = coder.codes(words.hashes, words.end - words.begin)
-                lp = log_probabilities(net, codes, contexts(codes, words, vocab.side**2)).astype(np.float64)
-                lp[out] += vocab.spelled(words.data, words.begin[out], words.end[out])
-                n = np.diff(words.start)
-                total = np.bincount(words.doc_of(), lp, len(words)) if len(lp) else np.zeros(len(words))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(words)), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+def score_rows(rows: DataFrame, model: Model, counts: DataFrame, leave_out: bool) -> DataFrame:
+    """``doc_id, n_words, log_likelihood, mean_log_likelihood`` of encoded rows; ``counts`` has all of their words."""
+    others = rows.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("hash"), F.col("o.times").alias("times"))
+    elsewhere = F.greatest(F.col("n") - (F.col("times") if leave_out else F.lit(0)) - DISCOUNT, F.lit(0.0))
+    own = others.join(lexicon(counts, model.vocab), "hash").groupBy("row").agg(F.sum(F.col("times") * (F.log(elsewhere + F.col("add")) - F.col("log_of"))).alias("words"))
+    total = F.col("net") + F.coalesce("words", F.lit(0.0))
+    scored = network_scores(rows, model).join(own, "row", "left")
+    return scored.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(answer, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+
+def score(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """Scores of any texts; words that the corpus never had are spelled."""
+    rows = encode(docs, model.vocab, id_col=id_col, text_col=text_col)
+    words = count_words(docs.select(F.col(text_col).alias("text"))).select("word").join(model.counts, "word", "left")
+    return score_rows(rows, model, words.select("word", F.coalesce("n", F.lit(0)).alias("n")), leave_out=False)
 
 
-def train(docs: DataFrame, *, text_col="text", epochs: int = EPOCHS) -> tuple[Vocabulary, np.ndarray]:
-    texts = docs.select(F.col(text_col).alias("text"))
-    vocab = vocabulary(texts)
-    flat = pack(start(vocab.side, len(vocab.hashes)))
-    for _ in range(epochs):
-        flat = train_round(texts, vocab, flat)
-    return vocab, flat
+def train_and_score(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """Scores of the corpus itself; a word counts for a text as often as it occurs in the others."""
+    model, rows = train(docs, id_col=id_col, text_col=text_col)
+    return score_rows(rows, model, model.counts, leave_out=True)
 
 
 def op4_pseudo_likelihood(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, *train(docs))
+    return train_and_score(table(spark, sf_dir, "documents"))

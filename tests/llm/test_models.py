@@ -146,72 +146,161 @@ def test_document_frequency_covers_all(spark):
     assert n == 4 and df[int(words.hashes[0] % np.uint64(quality.WORD_DIMS))] == 3
 
 
-def test_lm_gradient_and_scores(spark):
-    text = ["the cat sat on the mat and the dog lay on the rug"] * 60
-    (words,) = word_batches([" ".join(text), "", "one"])
-    vocab = np.unique(words.hashes)
-    coder, net = lm_score.Coder(vocab), lm_score.start()
-    codes = coder(words.hashes)
-    context = lm_score.contexts(codes, words)
-    assert context[0].tolist()[:2] == [lm_score.PAD] * 2 and (context[-1] == lm_score.PAD).all()
-    every = np.stack([lm_score.log_probabilities(net, np.full(1024, c), np.repeat(context[5:6], 1024, 0))[0] for c in range(lm_score.PAD)])
-    assert abs(np.exp(every).sum() - 1) < 1e-3  # a distribution over all codes
-    before = lm_score.log_probabilities(net, codes, context).mean()
-    for _ in range(40):
-        lm_score.train_step(net, codes, context, lm_score.RATE)
-    assert lm_score.log_probabilities(net, codes, context).mean() > before + 1
-    back = lm_score.unpack(lm_score.pack(net))
-    assert all((back[k] == net[k]).all() for k in net)
+def plain_log_probability(net, tree, seq, at):
+    """By walking the tree, one product a node."""
+    places = [p for p in range(at - lm_score.SIDE, at + lm_score.SIDE + 1) if p != at]
+    x = np.concatenate([net["context"][seq[p]] for p in places] + [[1.0]])
+    h = np.append(np.tanh(x @ net["mix"]), 1.0)
+    code, total = int(seq[at]), 0.0
+    path = [(k, s) for k, s in enumerate(tree.sign[code].tolist()) if s]
+    path += [(int(tree.node[k]), int(tree.side[k])) for k in range(tree.begin[code], tree.begin[code] + tree.count[code])]
+    for node, side in path:
+        total -= np.log1p(np.exp(-side * float(net["node"][node] @ h)))
+    return total
+
+
+@pytest.fixture(scope="module")
+def small_net():
+    rng = np.random.default_rng(3)
+    tree = lm_score.Tree(np.append(rng.integers(0, 500, 60), [1, 10**6]))
+    net = {k: v.astype(np.float64) for k, v in lm_score.start(tree).items()}
+    net["node"][:, :-1] *= 8
+    gap = [62] * lm_score.SIDE
+    seq = np.array([*gap, *rng.integers(0, 62, 40), *gap, *rng.integers(0, 62, 7), *gap], np.uint16)
+    return net, tree, seq
+
+
+def test_lm_probabilities_against_a_plain_loop(small_net):
+    net, tree, seq = small_net
+    got = lm_score.predict(net, tree, seq)
+    side = lm_score.SIDE
+    for k in range(len(got)):
+        want = plain_log_probability(net, tree, seq, k + side) if seq[k + side] != 62 else 0.0
+        assert abs(got[k] - want) < 1e-9
+    every = []
+    for code in range(62):  # all codes at one place are a distribution
+        other = seq.copy()
+        other[10] = code
+        every.append(lm_score.predict(net, tree, other)[10 - side])
+    assert abs(np.exp(every).sum() - 1) < 1e-9
+
+
+def test_lm_gradients_against_finite_differences(small_net):
+    net, tree, seq = small_net
+    total = {k: np.zeros_like(v) for k, v in net.items()}
+    for name, rows, g in lm_score.predict(net, tree, seq, gradients=True):
+        assert len(set(rows.tolist())) == len(rows)
+        total[name][rows] += g
+    rng = np.random.default_rng(4)
+    for name, v in net.items():
+        for _ in range(40):
+            at = (int(rng.choice(seq)) if name == "context" else int(rng.integers(len(v))), int(rng.integers(v.shape[1])))
+            old, both = v[at], []
+            for step in (1e-5, -1e-5):
+                v[at] = old + step
+                both.append(lm_score.predict(net, tree, seq).sum())
+            v[at] = old
+            assert abs((both[0] - both[1]) / 2e-5 - total[name][at]) < 1e-5
+
+
+def test_lm_network_starts_from_the_counts_and_learns():
+    rng = np.random.default_rng(5)
+    counts = np.array([800, 400, 200, 100, 50, 25])
+    tree = lm_score.Tree(counts)
+    codes = np.tile(np.array([0, 1, 0, 2, 3, 0, 4, 1], np.uint16), 400)
+    net = lm_score.start(tree)
+    net["node"][:, :-1] = 0
+    flat = np.exp([lm_score.predict(net, tree, np.array([6, 6, c, 6, 6], np.uint16))[0] for c in range(6)])
+    assert np.allclose(flat, counts / counts.sum(), atol=1e-3)
+    learner = lm_score.Learner(net, {k: np.zeros(len(v), np.float32) for k, v in net.items()}, tree)
+    gap = learner.gap
+    for _ in range(30):
+        learner.step(np.concatenate([gap, codes, gap]))
+    seq = np.concatenate([gap, codes, gap])
+    assert lm_score.predict(learner.net, tree, seq).mean() > lm_score.predict(net, tree, seq).mean() + 0.5
+    parts = [rng.integers(0, 6, n).astype(np.uint16) for n in (9000, 3, 70_000, 1, 500)]
+    one, other = (lm_score.Learner(net, {k: np.zeros(len(v), np.float32) for k, v in net.items()}, tree) for _ in range(2))
+    for p in parts:
+        one.add(p)
+    other.held += [x for p in parts for x in (p, gap)]  # the cuts do not depend on how rows arrive
+    one.end(), other.end()
+    assert all(np.array_equal(one.net[k], other.net[k]) for k in net)
+
+
+def lm_rows():
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(rng.choice(words, 80, p=np.arange(400, 0, -1) / 80_200)), "en") for i in range(150)]
+    rows += [(200, "plain words in a plain order again and again", "en")] * 2 + [(300, rows[7][1], None)]
+    return rows + [(600 + k, t, None) for k, t in enumerate(ODD)] + [(None, "no id", None)]
+
+
+def test_lm_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 3)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    got = []
+    for n in (1, 2, 9):
+        docs = frame(spark, lm_rows()).repartition(n, F.xxhash64("doc_id", F.lit(n)))
+        got.append(sorted(((r.doc_id if r.doc_id is not None else -1, r.n_words, r.log_likelihood) for r in lm_score.train_and_score(docs).collect())))
+    assert len(got[0]) == len(lm_rows())
+    for other in got[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in got[0]]
+        assert max(abs(a[2] - b[2]) / max(1, a[1]) for a, b in zip(got[0], other)) < 1e-6
 
 
 def test_lm_over_tables(spark):
-    rows = [(i, "plain words in a plain order again and again", "en") for i in range(200)] + [(500, "order again words plain in plain a and again", "en")] + [(600 + k, t, None) for k, t in enumerate(ODD)] + [(None, "no id", None)]
+    rows = lm_rows()
     docs = frame(spark, rows).repartition(3)
-    vocab, flat = lm_score.train(docs, epochs=3)
-    got = lm_score.score(docs, vocab, flat).collect()
-    assert len(got) == len(rows)
-    by = {r.doc_id: r for r in got}
-    assert by[0].n_words == 9 and by[0].mean_log_likelihood > by[500].mean_log_likelihood
+    model, encoded = lm_score.train(docs)
+    out = lm_score.score_rows(encoded, model, model.counts, leave_out=True)
+    assert out.columns == ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"]
+    by = {r.doc_id: r for r in out.collect()}
     assert (by[600].n_words, by[600].log_likelihood, by[600].mean_log_likelihood) == (0, 0.0, None)
+    assert abs(by[7].log_likelihood - by[300].log_likelihood) < 1e-6
+    # against plain counts: what each word out of the vocabulary adds
+    import collections
+    import re
+
+    texts = [re.findall(r"[^ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for _, t, _ in rows]
+    counts = collections.Counter(w for t in texts for w in t)
+    top = sorted((w for w in counts if counts[w] >= lm_score.LEAST), key=lambda w: (-counts[w], w.encode()))[: lm_score.VOCAB]
+    assert len(model.vocab.hashes) == len(top) and model.vocab.counts.tolist() == [counts[w] for w in top]
+    others = {w: n for w, n in counts.items() if w not in set(top)}
+    size = lambda w: min(len(w.encode()), lm_score.OTHER)
+    net = {r.doc_id: r.net for r in lm_score.network_scores(encoded, model).collect()}
+    for (i, _, _), text in zip(rows, texts):
+        want = 0.0
+        for w in text:
+            if w in others:
+                mine = [x for x in others if size(x) == size(w)]
+                data = w.encode() + b" "
+                spelled = model.vocab.spelled(data, np.array([0]), np.array([len(data) - 1]))[0]
+                share = max(counts[w] - text.count(w) - lm_score.DISCOUNT, 0) + lm_score.DISCOUNT * len(mine) * np.exp(spelled)
+                want += np.log(share / sum(others[x] for x in mine))
+        if i != 200:
+            assert abs(by[i].log_likelihood - net[i] - want) < 1e-6, i
+    new = frame(spark, [(0, "w1 w2 quite new", None), (1, "w1 w2 q#zx~7 w3", None), (2, None, None)])
+    scored = {r.doc_id: r for r in lm_score.score(new, model).collect()}
+    assert scored[0].log_likelihood < 0 and np.isfinite(scored[1].log_likelihood) and scored[2].n_words == 0
     empty = docs.limit(0)
-    assert lm_score.score(empty, *lm_score.train(empty)).count() == 0
-    assert docs.agg(F.count(F.lit(1))).first()[0] == len(rows)
-
-
-def test_lm_vocabulary_follows_the_corpus_and_rare_words_are_spelled(spark):
-    rows = [(i, " ".join(f"w{k}" for k in range(k0, k0 + 150)), None) for k0 in range(0, 1500, 150) for i in range(6)]
-    rows += [(100 + i, f"w1 stone{i} w3 stane{i}", None) for i in range(40)]
-    docs = frame(spark, rows)
-    vocab, flat = lm_score.train(docs)
-    small = lm_score.vocabulary(docs.where("doc_id >= 100"))
-    assert len(vocab.hashes) > len(small.hashes) == 2
-    for own, net in ((vocab, lm_score.unpack(flat)), (small, lm_score.start(small.side, 2))):
-        (two,) = word_batches(["w1 " + " ".join(chr(c) for c in range(33, 127) if not 65 <= c <= 90)])
-        coder = lm_score.Coder(own.hashes, own.side)
-        codes, out = coder.codes(two.hashes, two.end - two.begin)
-        assert not out[0] and out[1:].all() and len(set(codes[1:])) == 1
-        # words of one byte share a code and are spelled: their probabilities sum to that of the code
-        free = np.exp(own.spelling[:256].astype(np.float64))
-        assert abs(free.sum() - 1) < 1e-4
-        assert (own.spelled(two.data, two.begin[1:], two.end[1:]) <= 1e-6).all()
-    new = [(0, "w1 stone7 w3", None), (1, "w1 q#zx~7 w3", None), (2, "w1 " + "z" * 500 + " w3", None)]
-    got = {r.doc_id: r.log_likelihood for r in lm_score.score(frame(spark, new), vocab, flat).collect()}
-    assert got[0] > got[1] + 3 and got[1] > got[2]  # shared hash codes could not tell them apart
-
-
-def test_lm_vocabulary_grows_past_its_least_size(spark, monkeypatch):
+    assert lm_score.train_and_score(empty).count() == 0
+    assert docs.count() == len(rows)
+
+
+def test_lm_spellings_are_a_distribution(spark):
+    docs = frame(spark, [(100 + i, f"w1 stone{i} w3 stane{i}", None) for i in range(40)])
+    vocab = lm_score.vocabulary(lm_score.count_words(docs.select("text")))
+    assert len(vocab.hashes) == 2
+    (two,) = word_batches(["w1 " + " ".join(chr(c) for c in range(33, 127) if not 65 <= c <= 90)])
+    codes, out = lm_score.Coder(vocab.hashes)(two.hashes, two.end - two.begin)
+    assert not out[0] and out[1:].all() and set(codes[1:].tolist()) == {2}
+    free = np.exp(vocab.spelling[:256].astype(np.float64))
+    assert abs(free.sum() - 1) < 1e-4
+    assert (vocab.spelled(two.data, two.begin[1:], two.end[1:]) <= 1e-6).all()
+
+
+def test_lm_vocabulary_follows_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SCALE", 40)
     docs = frame(spark, [(i, " ".join(f"v{k}" for k in range(1200)), None) for i in range(6)])
-    vocab, flat = lm_score.train(docs)
-    assert len(vocab.hashes) == 1200 and vocab.side**2 >= 1200 + lm_score.OTHER
-    assert lm_score.unpack(flat)["word"].shape[0] == vocab.side
-
-
-def test_lm_trains_on_every_word(spark):
-    (words,) = word_batches(["stone"])
-    assert lm_score.Coder(np.empty(0, np.uint64))(words.hashes).shape == (1,)
-    for text in ("stone", "river", "a"):  # the hash mask left these out
-        docs = frame(spark, [(0, text, None)])
-        vocab = lm_score.vocabulary(docs)
-        flat = lm_score.pack(lm_score.start(vocab.side, 0))
-        assert (lm_score.train_round(docs, vocab, flat) != flat).any(), text
+    vocab = lm_score.vocabulary(lm_score.count_words(docs.select("text")))
+    assert len(vocab.hashes) == 1200 and vocab.codes == 1200 + lm_score.OTHER
