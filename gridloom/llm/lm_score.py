@@ -52,7 +52,7 @@ WIDTH = 16
 #: The heaviest nodes of the tree are compared with every word in one product, the others one by one.
 TOP = 24
 RATE = 0.15
-STEP = 4096
+STEP = 8192
 SHARD = 400
 TURNS = 4
 FAN = 64
@@ -298,7 +298,7 @@ def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(rows[order], first, axis=0)
+    return keys[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 _PLACES = [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]
@@ -309,44 +309,52 @@ def predict(net: dict, tree: Tree, seq: np.ndarray, gradients: bool = False):
 
     With ``gradients``, those of the sum instead: for each part of the network rows and what their derivatives add up to.
     """
-    beside, m = len(tree.count), len(seq) - 2 * SIDE
-    seen = net["context"][seq]
+    beside, m, mix = len(tree.count), len(seq) - 2 * SIDE, net["mix"]
+    seen = net["context"].take(seq, axis=0)
+    x = sum(seen[p : p + m] @ mix[k * WIDTH : (k + 1) * WIDTH] for k, p in enumerate(_PLACES))
+    x += mix[-1]
+    np.tanh(x, out=x)
     places = np.flatnonzero(seq[SIDE : SIDE + m] != beside)
+    depth = tree.count[seq[SIDE : SIDE + m][places]]
+    order = np.argsort(-depth, kind="stable")  # deepest first, so that each level of the tree concerns the first so many
+    places, depth = places[order], depth[order]
     code = seq[SIDE : SIDE + m][places]
-    one = np.ones((m, 1), seen.dtype)
-    x = np.concatenate([*(seen[k : k + m] for k in _PLACES), one], 1)[places]
-    h = np.concatenate([np.tanh(x @ net["mix"]), one[: len(places)]], 1)
-    sign = tree.sign[code].astype(h.dtype)
-    wide = _exp_minus((h @ net["node"][: sign.shape[1]].T) * sign)
-    count = tree.count[code]
-    end = np.cumsum(count)
-    at = np.arange(end[-1] if len(end) else 0) + np.repeat(tree.begin[code] - (end - count), count)
-    node, side = tree.node[at], tree.side[at].astype(h.dtype)
-    h_of, node_of = h[np.repeat(np.arange(len(code)), count)], net["node"][node]
-    deep = _exp_minus(np.einsum("ij,ij->i", h_of, node_of) * side)
-    some = np.flatnonzero(count)
-    first = (end - count)[some]
+    h = np.ones((len(places), WIDTH + 1), x.dtype)
+    h[:, :-1] = x.take(places, axis=0)
+    sign = tree.sign.take(code, axis=0).astype(h.dtype)
+    heavy = net["node"][: sign.shape[1]]
+    wide = _exp_minus((h @ heavy.T) * sign)
+    if gradients:
+        wide = sign * (wide / (1 + wide))
+        dh = wide @ heavy
+        found, nodes, parts = [("node", np.arange(len(heavy)), wide.T @ h)], [], []
+    else:
+        lp = -(np.log(1 + wide) * (sign != 0)).sum(1, dtype=np.float64)
+    begin, most = tree.begin[code], int(depth[0]) if len(depth) else 0
+    for d, n in enumerate(np.searchsorted(-depth, -np.arange(most)).tolist()):
+        node, side = tree.node.take(begin[:n] + d), tree.side.take(begin[:n] + d).astype(h.dtype)
+        node_of = net["node"].take(node, axis=0)
+        deep = _exp_minus(np.einsum("ij,ij->i", h[:n], node_of) * side)
+        if gradients:
+            deep = (side * (deep / (1 + deep)))[:, None]
+            parts.append(deep * h[:n])
+            nodes.append(node)
+            node_of *= deep
+            dh[:n] += node_of
+        else:
+            lp[:n] -= np.log(1 + deep)
     if not gradients:
         out = np.zeros(m, np.float64)
-        lp = -(np.log(1 + wide) * (sign != 0)).sum(1, dtype=np.float64)
-        if len(some):
-            lp[some] -= np.add.reduceat(np.log(1 + deep).astype(np.float64), first)
         out[places] = lp
         return out
-    wide = sign * (wide / (1 + wide))
-    dh = wide @ net["node"][: sign.shape[1]]
-    found = [("node", np.arange(sign.shape[1]), wide.T @ h)]
-    if len(some):
-        deep = (side * (deep / (1 + deep)))[:, None]
-        dh[some] += np.add.reduceat(deep * node_of, first, axis=0)
-        found.append(("node", *_sums(node, deep * h_of)))
-    dx = dh[:, :-1] * (1 - h[:, :-1] ** 2)
-    found.append(("mix", np.arange(len(net["mix"])), x.T @ dx))
-    back = np.zeros((m, x.shape[1] - 1), h.dtype)
-    back[places] = dx @ net["mix"][:-1].T
+    if nodes:
+        found.append(("node", *_sums(np.concatenate(nodes), np.concatenate(parts))))
+    dx = np.zeros((m, WIDTH), h.dtype)
+    dx[places] = dh[:, :-1] * (1 - h[:, :-1] ** 2)
     into = np.zeros((len(seq), WIDTH), h.dtype)
     for k, p in enumerate(_PLACES):
-        into[p : p + m] += back[:, k * WIDTH : (k + 1) * WIDTH]
+        into[p : p + m] += dx @ mix[k * WIDTH : (k + 1) * WIDTH].T
+    found.append(("mix", np.arange(len(mix)), np.concatenate([*(seen[p : p + m].T @ dx for p in _PLACES), dx.sum(0, keepdims=True)])))
     found.append(("context", *_sums(seq, into)))
     return found
 
@@ -365,8 +373,10 @@ class Learner:
 
     def step(self, seq: np.ndarray) -> None:
         for name, rows, g in predict(self.net, self.tree, seq, gradients=True):
-            self.steady[name][rows] += (g * g).mean(1)
-            self.net[name][rows] += RATE * g / np.sqrt(self.steady[name][rows] + 1e-6)[:, None]
+            steady = self.steady[name].take(rows) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+            self.steady[name][rows] = steady
+            g *= (RATE / np.sqrt(steady + 1e-6))[:, None]
+            self.net[name][rows] = self.net[name].take(rows, axis=0) + g
 
     def add(self, codes: np.ndarray) -> None:
         self.held += [codes, self.gap]
@@ -413,7 +423,7 @@ def train_turn(dealt: DataFrame, tree: Tree, net: dict, steady: dict, shards: in
         weight = new[:, -1:].astype(np.float64)
         sums = np.concatenate([new[:, :-1] * weight, weight, weight * weight], 1).astype(np.float32)
         for k in range(0, len(sums), CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([shard]), pa.array([sums[k : k + CHUNK].astype("<f8").tobytes()], pa.binary())], ["at", "shard", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([shard]), pa.array([sums[k : k + CHUNK].astype("<f4").tobytes()], pa.binary())], ["at", "shard", "part"])
 
     def learn(batches):
         tree, net, steady = shared.value
@@ -430,7 +440,7 @@ def train_turn(dealt: DataFrame, tree: Tree, net: dict, steady: dict, shards: in
 
     def add_up(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("shard")
-        total = sum(np.frombuffer(x.as_py(), "<f8") for x in rows.column("part"))
+        total = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) for x in rows.column("part")).astype("<f4")
         return pa.table({"at": rows.column("at").slice(0, 1), "shard": pa.array([rows.column("shard")[0].as_py() // FAN]), "part": pa.array([total.tobytes()], pa.binary())})
 
     sorted_rows = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("nth", "codes")
@@ -440,7 +450,7 @@ def train_turn(dealt: DataFrame, tree: Tree, net: dict, steady: dict, shards: in
         shards = -(-shards // FAN)
     total = np.zeros((sum(map(len, net.values())), WIDTH + 3))
     for row in parts.collect():  # the size of one network
-        total[row.at : row.at + CHUNK] = np.frombuffer(row.part, "<f8").reshape(-1, WIDTH + 3)
+        total[row.at : row.at + CHUNK] = np.frombuffer(row.part, "<f4").reshape(-1, WIDTH + 3)
     weight = np.maximum(total[:, -2], 1e-300)
     rows = _table(net, steady).astype(np.float64)
     rows[:, :-1] += total[:, :-2] / weight[:, None]
