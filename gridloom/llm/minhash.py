@@ -10,16 +10,20 @@
    probability of reaching the threshold is under ``MISS``.
 5. Survivors are confirmed on the full sets: first the likeliest partner of each member,
    then those that would still join two components.
-6. Buckets whose members still lie in several components are then compared in full across
-   components: small ones pair by pair, large ones (joined into pools where they share a
-   member, so that no pair is met in every band) block against block, from which only new
-   links come out. Pairs inside one component cannot change it; so no link between
-   components is left out for the size of its bucket.
+6. Buckets whose members still lie in several components are then searched in full across
+   components, by the same steps: signatures in batches, posterior pruning, full sets of the
+   survivors. Small buckets list their pairs; those of more than ``LARGE`` members are dealt
+   to blocks, and each pair of blocks is a group of its own, in which a pair of texts is
+   looked at in the first band that it shares only. Pairs inside one component cannot
+   change it; so no link between components is left out for the size of its bucket.
 
 Links are ``100 * intersection >= percent * union``. Cases: null texts and texts without a
 word have an empty set and are linked with nothing; texts of fewer than ``k`` words have
-their whole sequence as one shingle. Repeated rows are copies of each other. Rows with a
-null id stay alone. An empty table gives an empty result. Texts are read whole.
+their whole sequence as one shingle. Repeated rows are copies of each other. Rows of one id
+with different texts are texts of their own: sharing an id links nothing, and each has the
+least id of the texts that it reaches. Rows with a null id stay alone. An empty table gives
+an empty result. Texts are read whole. Sets are told apart by 128-bit digests, and classes of
+equal sets have 64-bit names.
 """
 
 from __future__ import annotations
@@ -32,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settle, table
+from gridloom.llm.common import WORD_REGEX, settle, table
 from gridloom.llm.components import components, in_blocks
 from gridloom.llm.textcodes import mix, word_batches
 
 SIZE, BANDS, BATCH = 128, 32, 32
 MISS = 1e-6
-#: Buckets of more members are compared block against block, in blocks of at most about so many rows and bytes.
+#: Pairs of buckets with more members are not listed but met block against block, in blocks of at most about so many rows and bytes of sets.
 LARGE = 64
-POOL_ROWS, POOL_BYTES = 256, 1 << 21
+BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 21
 _rng = np.random.Generator(np.random.PCG64(5))
 _XOR = _rng.integers(0, 2**32, SIZE, dtype=np.uint32)
 _MULTIPLY = _rng.integers(0, 2**31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -73,21 +77,24 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(shingles: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set; 0 for empty ones."""
+    begin, padded = np.cumsum(sizes) - sizes, np.append(shingles, np.uint64(0))
+    return [np.where(sizes > 0, np.add.reduceat(mix(padded ^ np.uint64(c)), begin) if len(begin) else begin, 0).astype(np.uint64).view(np.int64) for c in (0x1234567, 0x9E3779B97F4A7C15)]
+
+
 def describe(docs: DataFrame, k: int, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, sig``: set size, 128-bit digest of the set, minima."""
+    """``doc_id, text_hash, n_shingles, d1, d2, sig``: set size, 128-bit digest of the set, minima."""
 
     def answer(batches):
         for batch in batches:
             for words in word_batches(batch.column(1).to_pylist()):
                 shingles, sizes = shingle_sets(words, k)
-                begin = np.cumsum(sizes) - sizes
-                padded = np.append(shingles, np.uint64(0))
-                digests = [np.where(sizes > 0, np.add.reduceat(mix(padded ^ np.uint64(c)), begin) if len(begin) else begin, 0).astype(np.uint64).view(np.int64) for c in (0x1234567, 0x9E3779B97F4A7C15)]
                 sigs = signatures(shingles, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(words)), pa.array(sizes), *map(pa.array, digests), pa.array([row.tobytes() for row in sigs], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(words)), batch.column(2).slice(words.first, len(words)), pa.array(sizes), *map(pa.array, digests(shingles, sizes)), pa.array([row.tobytes() for row in sigs], pa.binary())], ["doc_id", "text_hash", "n_shingles", "d1", "d2", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(answer, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(answer, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def least_matches(percent: int, miss: float = MISS) -> dict[int, int]:
@@ -112,29 +119,47 @@ def likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     def compare(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SIZE) for c in (2, 3))
-            left, same = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int32)
-            for n, least in bounds.items():
-                same[left] += (x[left, n - BATCH : n] == y[left, n - BATCH : n]).sum(1).astype(np.int32)
-                left = left[same[left] >= least]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(left)), batch.column(1).take(pa.array(left)), pa.array(same[left])], ["a", "b", "same"])
+            every = np.arange(batch.num_rows)
+            left, same = unpruned(x, y, every, every, bounds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(left)), batch.column(1).take(pa.array(left)), pa.array(same)], ["a", "b", "same"])
 
     one = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
     two = one.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     return two.select("a", "b", "sig_a", "sig_b").mapInArrow(compare, "a long, b long, same int")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """``(doc_id, set binary)`` of the documents in ``ids (node)``."""
+def unpruned(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, bounds: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs of rows ``x[i], y[j]`` are left after the last batch of minima, and how many of theirs are equal."""
+    left, same = np.arange(len(i)), np.zeros(len(i), np.int32)
+    for n, least in bounds.items():
+        same = same + (x[i[left], n - BATCH : n] == y[j[left], n - BATCH : n]).sum(1).astype(np.int32)
+        left, same = left[same >= least], same[same >= least]
+    return left, same
+
+
+def full_sets(docs: DataFrame, reps: DataFrame, k: int, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """``(rep, set binary)`` of the classes ``reps (rep, doc_id, d1, d2)``, from a document of each."""
 
     def answer(batches):
         for batch in batches:
             for words in word_batches(batch.column(1).to_pylist()):
                 shingles, sizes = shingle_sets(words, k)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(words)), pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, len(words)), *map(pa.array, digests(shingles, sizes)), pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary())], ["doc_id", "d1", "d2", "set"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(reps.select("doc_id"), "doc_id", "left_semi")
+    found = rows.mapInArrow(answer, "doc_id long, d1 long, d2 long, set binary").join(reps.select("rep", "doc_id", "d1", "d2"), ["doc_id", "d1", "d2"])
+    return found.select("rep", "set").dropDuplicates(["rep"])  # those of one class are equal
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id") == F.col("node"), "left_semi")
-    return rows.mapInArrow(answer, "doc_id long, set binary").dropDuplicates(["doc_id"])
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold; sizes too unlike decide without a look at the members."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,59 +167,58 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= percent * (len(both) - shared))
-            at = pa.array(np.flatnonzero(ok))
+            at = pa.array(np.flatnonzero([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    one = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+    one = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
+    two = one.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
     return two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def pooled(pools: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components inside each pool ``(rep, pool)``, by full sets, block against block.
+def met_in_blocks(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components ``c`` inside buckets ``(rep, pool, band, c, n_shingles)``, block against block.
 
-    A pool's members are dealt to blocks of bounded size; each pair of blocks is a group of
-    its own, which multiplies incidence matrices and returns nothing but new links.
+    Signatures go to every pair of blocks; full sets only to those with survivors, once a
+    block pair. A block pair returns one link for each two components that it joins.
     """
-    named = pools.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "pool", F.coalesce("component", "rep").alias("c"))
-    full = settle(named.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep"))
-    counts = full.groupBy("pool").agg(F.greatest(F.ceil(F.count(F.lit(1)) / POOL_ROWS), F.ceil(F.sum(F.octet_length("set")) / POOL_BYTES)).cast("int").alias("blocks"))
-    dealt = in_blocks(full, counts)
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "set")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame.i.iloc[0], frame.j.iloc[0]
-        sides = [frame[frame.block == i], frame[frame.block == j]]
-        flat = [np.concatenate([np.frombuffer(s, np.uint64) for s in side.set]) if len(side) else np.empty(0, np.uint64) for side in sides]
-        sizes = [np.array([len(s) // 8 for s in side.set], np.int64) for side in sides]
-        common = np.intersect1d(*flat)
-        shared = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
-        at = [np.minimum(np.searchsorted(common, f), max(len(common) - 1, 0)) for f in flat]
-        row = [np.repeat(np.arange(len(n)), n) for n in sizes]
-        for k in range(0, len(common), 4096):  # columns of the incidence matrices, a slice at a time
-            part = []
-            for f, a, r, n in zip(flat, at, row, sizes):
-                pick = (a >= k) & (a < k + 4096)
-                pick[pick] = common[a[pick]] == f[pick]
-                m = np.zeros((len(n), 4096), np.float32)
-                m[r[pick], a[pick] - k] = 1
-                part.append(m)
-            shared += part[0] @ part[1].T
-        shared = shared.astype(np.int64)
-        ok = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
-        ok &= sides[0].c.to_numpy()[:, None] != sides[1].c.to_numpy()[None, :]
-        x, y = np.nonzero(ok)
-        x, y = sides[0].rep.to_numpy()[x], sides[1].rep.to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
-
-    return sent.groupBy("pool", "i", "j").applyInPandas(compare, "a long, b long")
+    bounds = least_matches(percent)
+    counts = rows.groupBy("pool").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = in_blocks(rows.join(sigs.select("rep", "sig"), "rep"), counts)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("pool", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "sig")
+
+    def survivors(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j, band = frame.i.iloc[0], frame.j.iloc[0], int(frame.band.iloc[0])
+        a, b = frame[frame.block == i], frame[frame.block == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("pool", "i", "j", "a", "b", "ca", "cb")})
+        x, y = (np.frombuffer(b"".join(s.sig), np.uint32).reshape(-1, SIZE) for s in (a, b))
+        open_pairs = a.c.to_numpy()[:, None] != b.c.to_numpy()[None, :]
+        if i == j:
+            open_pairs &= a.rep.to_numpy()[:, None] < b.rep.to_numpy()[None, :]
+        width = SIZE // BANDS
+        for before in range(band):  # met in an earlier band
+            u, v = (np.ascontiguousarray(s[:, before * width : (before + 1) * width]).view([("", np.uint64)] * (width // 2)).ravel() for s in (x, y))
+            open_pairs &= u[:, None] != v[None, :]
+        u, v = np.nonzero(open_pairs)
+        left, _ = unpruned(x, y, u, v, bounds)
+        u, v = u[left], v[left]
+        return pd.DataFrame({"pool": frame.pool.iloc[0], "i": i, "j": j, "a": a.rep.to_numpy()[u], "b": b.rep.to_numpy()[v], "ca": a.c.to_numpy()[u], "cb": b.c.to_numpy()[v]})
+
+    where = ["pool", "i", "j"]
+    pairs = settle(met.groupBy(*where).applyInPandas(survivors, "pool long, i long, j long, a long, b long, ca long, cb long"))
+    end = lambda c: pairs.select(F.col("pool").alias("of"), F.col("i").alias("x"), F.col("j").alias("y"), F.col(c).alias("rep"))
+    ends = end("a").union(end("b")).distinct()
+
+    def verify(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        held, joined, out = {r: np.frombuffer(s, np.uint64) for r, s in zip(own.rep, own.set)}, set(), []
+        for a, b, ca, cb in pairs[["a", "b", "ca", "cb"]].sort_values(["a", "b"]).itertuples(index=False):
+            if (ca, cb) not in joined and linked(held[a], held[b], percent):
+                joined |= {(ca, cb), (cb, ca)}
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return pairs.groupBy(*where).cogroup(ends.join(sets, "rep").groupBy("of", "x", "y")).applyInPandas(verify, "a long, b long")
 
 
 def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -205,24 +229,24 @@ def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id, kept`` for every row of ``docs``."""
-    base = settle(describe(docs, k, id_col=id_col, text_col=text_col))
-    some = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    key = ["d1", "d2", "n_shingles"]
-    classes = settle(some.groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    reps = some.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
-    sigs = settle(reps)
+    """``doc_id, n_shingles, class_id, component_id, kept, class, component, text_hash`` for every row of ``docs``.
+
+    ``class`` and ``component`` name the set and all that it reaches; null for rows that are linked with nothing.
+    """
+    base = settle(describe(docs, k, id_col=id_col, text_col=text_col).withColumn("class", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("d1", "d2", "n_shingles"))))
+    classes = settle(base.where("class IS NOT NULL").groupBy(F.col("class").alias("rep"), "d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id")))
+    sigs = settle(base.select("class", "doc_id", "sig").join(classes.select("rep", "doc_id"), ["doc_id"]).where("class = rep").select("rep", "sig").dropDuplicates(["rep"]))
 
     width = 4 * SIZE // BANDS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
-    rows = sigs.select("rep", F.explode(band).alias("key"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))).alias("key")))
+    rows = sigs.select("rep", F.explode(band).alias("at")).select("rep", "at.band", "at.key")
     ends = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = settle(rows.join(ends, "key"))
     first = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     alike = settle(likely(first, sigs, percent))
 
-    ids = members.select(F.col("rep").alias("node")).distinct()
-    sets = settle(full_sets(docs, ids, k, id_col=id_col, text_col=text_col))
+    ids = members.select("rep").distinct()
+    sets = settle(full_sets(docs, classes.join(ids, "rep", "left_semi"), k, id_col=id_col, text_col=text_col))
     # the likeliest partner of each member, ties to the one with the least hash
     best = alike.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("p"), "same").select("p.*", "same")
     best = best.groupBy("u").agg(F.max_by("v", F.col("same").cast("long") * (1 << 32) - F.pmod(F.xxhash64("v"), F.lit(1 << 31))).alias("v"))
@@ -233,28 +257,37 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="d
     comps = settle(components(links))
 
     # what is left: pairs of one bucket in different components
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "low", "n")
+    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "n")
     open_rows = settle(placed.join(split, "key"))
-    large = settle(components(open_rows.where(F.col("n") > LARGE).select(F.col("low").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("pool")))
-    small = open_rows.where(F.col("n") <= LARGE).join(large, "rep", "left").select("key", "rep", "c", "pool")
-    left, right = (small.select("key", F.col("rep").alias(end), F.col("c").alias(f"c_{end}"), F.col("pool").alias(f"pool_{end}")) for end in "ab")
-    cross = left.join(right, "key").where("a < b AND c_a != c_b AND NOT coalesce(pool_a = pool_b, false)").select("a", "b").distinct()
+    small = open_rows.where(F.col("n") <= LARGE)
+    left, right = (small.select("key", F.col("rep").alias(end), F.col("c").alias(f"c_{end}")) for end in "ab")
+    cross = left.join(right, "key").where("a < b AND c_a != c_b").select("a", "b").distinct()
     late = confirmed(likely(cross.join(first, ["a", "b"], "left_anti"), sigs, percent), sets, percent)
-    late = settle(late.union(pooled(large, comps, sets, percent)))
+    large = open_rows.where(F.col("n") > LARGE).join(classes.select("rep", "n_shingles"), "rep").select("rep", F.col("key").alias("pool"), "band", "c", "n_shingles")
+    late = settle(late.union(met_in_blocks(large, sigs, sets, percent)))
     if not late.isEmpty():
         comps = settle(components(links.union(late)))
 
-    named = base.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"))
-    out = named.join(comps, F.col("class_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    placed = classes.join(comps, F.col("rep") == F.col("node"), "left").select("rep", F.col("doc_id").alias("class_id"), F.coalesce("component", "rep").alias("component"))
+    least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = base.drop("sig").join(placed.join(least, "component"), F.col("class") == F.col("rep"), "left")
+    component_id = F.coalesce("component_id", "doc_id")
+    return named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"), "class", "component", "text_hash")
 
 
 def deduplicated(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row of each component; rows with a null id stay."""
-    kept = near_duplicates(docs, k=k, percent=percent, id_col=id_col, text_col=text_col).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    """One row of each component: that with the least id (then set, then text), of equal ones the least by its other columns.
+
+    Rows without an id or without a word are copies of nothing and stay.
+    """
+    found = near_duplicates(docs, k=k, percent=percent, id_col=id_col, text_col=text_col).where("class IS NOT NULL")
+    chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "class", "text_hash")).alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.text_hash").alias("__text"))
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.xxhash64(text_col))
+    ordered = [f"`{f.name}`" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    one = keyed.join(chosen, ["__id", "__text"], "left_semi").groupBy("__id", "__text").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.struct(*ordered)).alias("__row")).select("__row.*")
+    alone = F.col(id_col).isNull() | ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD_REGEX)
+    return one.union(docs.where(alone))
 
 
 def op5_near_duplicates(spark, sf_dir):

@@ -87,7 +87,7 @@ def test_near_duplicates_against_all_pairs(spark):
 
 def test_one_large_group_of_weak_copies(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LARGE", 8)
-    monkeypatch.setattr(minhash, "POOL_ROWS", 16)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(120)]
     rows = list(enumerate([" ".join(base)] * 40 + [edited(rng, base, rng.randrange(1, 8)) for _ in range(160)]))
@@ -95,12 +95,41 @@ def test_one_large_group_of_weak_copies(spark, monkeypatch):
     assert len({r.component_id for r in got.values()}) > 1
 
 
+def test_many_texts_of_one_template(spark, monkeypatch):
+    """Unlike texts that share a passage fill large buckets; only true links join them."""
+    monkeypatch.setattr(minhash, "LARGE", 6)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    rng = random.Random(4)
+    shared = [f"t{k}" for k in range(90)]
+    rows = []
+    for _ in range(70):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([8, 15, 40]))]
+        rows.append(" ".join(shared + own))
+        if rng.random() < 0.3:
+            rows.append(edited(rng, shared + own, 1))
+    rows = list(enumerate(rows))
+    got = check_near(spark, rows, 4)
+    assert 5 < len({r.component_id for r in got.values()}) < 70
+
+
 def test_near_duplicates_empty_null_and_repeated(spark):
-    assert minhash.near_duplicates(frame(spark, [])).count() == 0
-    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "a b c d e f")]
+    assert minhash.near_duplicates(frame(spark, [])).count() == 0 and minhash.deduplicated(frame(spark, [])).count() == 0
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "a b c d e f"), (4, ""), (5, None)]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
-    assert got == [(3, 3, True), (3, 3, True), (9, 3, False), (None, None, True)] or got[:3] == [(3, 3, True), (3, 3, True), (9, 3, False)]
-    assert sorted(r.doc_id or -1 for r in minhash.deduplicated(frame(spark, rows)).collect()) == [-1, 3]
+    assert got == sorted([(3, 3, True), (3, 3, True), (9, 3, False), (4, 4, True), (5, 5, True), (None, None, True)], key=str)
+    assert sorted(r.doc_id or -1 for r in minhash.deduplicated(frame(spark, rows)).collect()) == [-1, 3, 4, 5]
+
+
+def test_texts_that_share_an_id(spark):
+    one, two = " ".join(f"p{k}" for k in range(30)), " ".join(f"q{k}" for k in range(30))
+    rows = [(3, one), (3, two), (9, two), (11, one), (3, one), (12, "all alone here")]
+    seen = set()
+    for n in (1, 3, 7):
+        docs = frame(spark, rows).repartition(n)
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+        left = sorted((r.doc_id, r.text) for r in minhash.deduplicated(docs).collect())
+        seen.add((tuple(got), tuple(left)))
+    assert seen == {(((3, 3, True), (3, 3, True), (3, 3, True), (9, 3, False), (11, 3, False), (12, 12, True)), ((3, one), (3, two), (12, "all alone here")))}
 
 
 def test_pruning_bounds():
