@@ -7,8 +7,10 @@
 3. Rounds of neighbours-of-neighbours joins refine lists of the ``K`` nearest, of cosine
    ``FLOOR`` or more: two neighbours of one vector at cosine 0.98 are at 0.92 or more, so
    weaker ones lead nowhere. Rounds end when no list changes.
-4. A list whose K entries are all links is saturated. Its component is then compared in
-   full, block against block, which returns counts and not pairs; links cannot leave it.
+4. A list whose entries are all links is saturated: it gets twice as many, and the rounds go
+   on, until none is saturated or they have ``MOST_K``. The component of one that still is
+   gets compared in full, block against block, which returns counts and not pairs; links
+   cannot leave it.
 5. Each label is audited by itself: queries outside saturated components are compared with
    all of the label until ``LINKED`` of them have links, and recall is the mean over those.
    If a label is below ``RECALL`` the search goes on, up to ``PASSES`` times. A label that
@@ -18,7 +20,8 @@
 Links are pairs of one label at cosine >= 0.98. Cases: rows with a null label, and vectors
 that are null, empty, zero or hold a null or non-finite component, link with nothing (n_links 0, their own
 component); vectors of different lengths do not link. Repeated rows count as vectors of
-their own. An empty table gives an empty result.
+their own. Where rows of one id have different vectors or labels, that with the least label,
+then the least hash, stands for the id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +31,16 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import settle, table
-from gridloom.llm.components import components
+from gridloom.llm.components import components, in_blocks
 
 THRESHOLD = 0.98
 FLOOR = 0.9
-K = 10
+K, MOST_K = 10, 40
 TABLES = 16
 CHUNK = 4096
 ROUNDS = 6
@@ -53,20 +57,19 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
 
     def answer(batches):
         for batch in batches:
-            ids, out, dims, keep = batch.column(0), [], [], []
-            for k, v in enumerate(batch.column(2).to_pylist()):
-                if not v or None in v:
-                    continue
-                v = np.array(v, np.float64)
-                top = np.abs(v).max()
-                if not np.isfinite(v).all() or top == 0:
-                    continue
-                v = v / top
-                out.append((v / math.sqrt(v @ v) + 0.0).astype("<f8").tobytes())
-                dims.append(len(v))
-                keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "dim", "unit"])
+            lists = batch.column(2)
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            flat = pc.cast(lists.flatten(), pa.float64())  # null lists have no values here
+            value = np.asarray(pc.fill_null(flat, float("nan")), np.float64)
+            begin = np.cumsum(size) - size
+            for dim in np.unique(size[size > 0]).tolist():
+                pick = np.flatnonzero(size == dim)
+                x = value[begin[pick][:, None] + np.arange(dim)]
+                top = np.abs(x).max(1)
+                ok = np.isfinite(x).all(1) & (top > 0)
+                x, at = x[ok] / top[ok, None], pa.array(pick[ok])
+                x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 0.0
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(x), dim), pa.int32()), pa.array([row.tobytes() for row in x.astype("<f8")], pa.binary())], ["vec_id", "label", "dim", "unit"])
 
     kind = rows.schema["label"].dataType.simpleString()
     return rows.where("label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(answer, f"vec_id long, label {kind}, dim int, unit binary")
@@ -106,7 +109,11 @@ def scored(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     def dots(batches):
         for batch in batches:
             u, v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            cos = np.array([np.frombuffer(a, "<f8") @ np.frombuffer(b, "<f8") for a, b in zip(u, v)])
+            size, cos = np.array([len(a) for a in u], np.int64), np.empty(len(u))
+            for n in np.unique(size).tolist():
+                pick = np.flatnonzero(size == n)
+                x, y = (np.frombuffer(b"".join(side[k] for k in pick.tolist()), "<f8").reshape(len(pick), -1) for side in (u, v))
+                cos[pick] = np.einsum("ij,ij->i", x, y)
             keep = np.flatnonzero(cos >= FLOOR)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(cos[keep], pa.float64())], ["u", "v", "cos"])
 
@@ -119,31 +126,62 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", "cos").union(edges.select("v", "u", "cos"))
 
 
-def nearest(edges: DataFrame, k: int = K) -> DataFrame:
-    """The k best ``(u, v, cos)`` of each u."""
+def nearest(edges: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """The best ``(u, v, cos)`` of each u and how many it may have: ``K``, or what ``wide (rep, k)`` says."""
     order = Window.partitionBy("u").orderBy(F.desc("cos"), F.xxhash64("v"))
-    return both_ways(edges).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    best = both_ways(edges).withColumn("nth", F.row_number().over(order))
+    if wide is None:
+        return best.where(F.col("nth") <= K).withColumn("k", F.lit(K))
+    sized = best.where(F.col("nth") <= MOST_K).join(wide, F.col("u") == F.col("rep"), "left").withColumn("k", F.coalesce("k", F.lit(K)))
+    return sized.where(F.col("nth") <= F.col("k")).select("u", "v", "cos", "nth", "k")
 
 
-def refine(edges: DataFrame, reps: DataFrame) -> DataFrame:
+def refine(edges: DataFrame, reps: DataFrame, wide: DataFrame | None = None) -> DataFrame:
     """Rounds of neighbours-of-neighbours joins; all edges met."""
     for _ in range(ROUNDS):
-        lists = settle(nearest(edges).select("u", "v"))
+        lists = settle(nearest(edges, wide).select("u", "v"))
         hops = lists.join(lists.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").where("u < w").select("u", F.col("w").alias("v")).distinct()
         fresh = settle(scored(hops.join(edges.select("u", "v"), ["u", "v"], "left_anti"), reps))
         if fresh.isEmpty():
             break
         edges = settle(edges.union(fresh))
-        changed = nearest(edges).select("u", "v").join(lists, ["u", "v"], "left_anti")
+        changed = nearest(edges, wide).select("u", "v").join(lists, ["u", "v"], "left_anti")
         if changed.isEmpty():
             break
     return edges
 
 
+def saturated(edges: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """``(rep, k)`` of the lists that are full of links."""
+    return nearest(edges, wide).where((F.col("nth") == F.col("k")) & (F.col("cos") >= THRESHOLD - SLACK)).select(F.col("u").alias("rep"), "k")
+
+
+def enlarge(edges: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges after rounds with doubled lists for the saturated ones, and ``(rep, k)`` of those that are so at ``MOST_K``."""
+    full = settle(saturated(edges))
+    wide, k = None, K
+    while k < MOST_K and not full.isEmpty():
+        k = min(2 * k, MOST_K)
+        own = full.select("rep", F.lit(k).alias("k"))
+        wide = settle(own if wide is None else own.union(wide.join(own, "rep", "left_anti")))
+        edges = refine(edges, reps, wide)
+        full = settle(saturated(edges, wide).where(F.col("k") == k))
+    return edges, full
+
+
+def linked_components(links: DataFrame) -> DataFrame:
+    """Components of the links: first those of each vector's best, then the links that still join two."""
+    best = nearest(links).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    found = settle(components(best))
+    at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    rest = settle(links.join(at("u"), "u").join(at("v"), "v").where("cu != cv").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return found if rest.isEmpty() else settle(components(best.union(rest)))
+
+
 def pool_counts(members: DataFrame) -> DataFrame:
     """``(rep, n)``: copies linked with each member ``(rep, pool, label, unit, copies)`` inside its pool, its own copies left out."""
     counts = members.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(counts, "pool").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = in_blocks(members, counts)
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "unit", "copies")
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
@@ -162,10 +200,10 @@ def pool_counts(members: DataFrame) -> DataFrame:
 
 
 def new_links(members: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between different components ``c`` of the members ``(rep, grp, c, unit)`` of a group, by blocks; one for each two components of a pair of blocks."""
-    counts = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "unit")
+    """Links ``(a, b)`` between different components ``c`` of the members ``(rep, pool, c, unit)`` of a pool, by blocks; one for each two components of a pair of blocks."""
+    counts = members.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = in_blocks(members, counts)
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "unit")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame.block == frame.i.iloc[0]], frame[frame.block == frame.j.iloc[0]]
@@ -176,7 +214,7 @@ def new_links(members: DataFrame) -> DataFrame:
         out = pd.DataFrame({"a": a.rep.to_numpy()[u], "b": b.rep.to_numpy()[v], "ca": a.c.to_numpy()[u], "cb": b.c.to_numpy()[v]})
         return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
 
-    return sent.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
+    return sent.groupBy("pool", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def audit(reps: DataFrame, found: DataFrame, pools: DataFrame) -> dict[int, float | None]:
@@ -223,10 +261,15 @@ def audit(reps: DataFrame, found: DataFrame, pools: DataFrame) -> dict[int, floa
 
 
 def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", label_col="label") -> DataFrame:
-    """``vec_id, n_links, class_id, component_id, kept`` for every row of ``vectors``."""
+    """``vec_id, n_links, class_id, component_id, kept, recall`` for every row of ``vectors``.
+
+    ``recall`` is what the audit measured for the row's label; null where the label was compared in full.
+    """
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     units = settle(unit_vectors(given).withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit("second"), "unit")}))
     key = ["label", "dim", "h1", "h2"]
+    own = units.groupBy(F.col("vec_id").alias("id")).agg(F.min(F.struct(*key)).alias("own"))
+    units = settle(units.join(own, (F.col("vec_id") == F.col("id")) & (F.struct(*key) == F.col("own"))).drop("id", "own"))
     classes = settle(units.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     firsts = units.select("vec_id", *key, "unit").dropDuplicates(["vec_id", *key])
     reps = settle(firsts.join(classes, [*key]).where("vec_id = rep").select("rep", "label", "dim", "unit", "copies"))
@@ -238,34 +281,35 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     while True:
         pairs = hyperplane_pairs(reps, bits, range(more * TABLES, (more + 1) * TABLES))
         fresh = settle(scored(pairs, reps))
-        edges = settle(refine(fresh if edges is None else settle(edges.union(fresh).dropDuplicates(["u", "v"])), reps))
+        edges = refine(fresh if edges is None else settle(edges.union(fresh).dropDuplicates(["u", "v"])), reps)
+        edges, full = enlarge(edges, reps)
         links = settle(edges.where(F.col("cos") >= THRESHOLD - SLACK))
-        comps = settle(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-        saturated = nearest(links).where(F.col("nth") == K).select("u")
-        pools = settle(comps.join(comps.join(saturated, F.col("node") == F.col("u")).select(F.col("component").alias("pool")).distinct(), F.col("component") == F.col("pool")).select(F.col("node").alias("rep"), "pool"))
-        full = pool_counts(reps.join(pools, "rep"))
+        comps = linked_components(links)
+        pools = settle(comps.join(comps.join(full, F.col("node") == F.col("rep")).select(F.col("component").alias("pool")).distinct(), F.col("component") == F.col("pool")).select(F.col("node").alias("rep"), "pool"))
+        counted = pool_counts(reps.join(pools, "rep"))
         few = both_ways(links).select("u", "v").distinct().join(reps.select(F.col("rep").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("n")).select(F.col("u").alias("rep"), "n")
-        found = settle(few.join(pools, "rep", "left_anti").union(full))
+        found = settle(few.join(pools, "rep", "left_anti").union(counted))
         more += 1
         recall = audit(reps, found, pools)
         poor = [g for g, r in recall.items() if r is not None and r < RECALL]
         if more == PASSES or not poor:
             break
 
-    sure = [g for g, r in recall.items() if r is not None and r >= RECALL]
-    exact = reps.where(~F.col("grp").isin(sure))
+    sure = {g: r for g, r in recall.items() if r is not None and r >= RECALL}
+    exact = reps.where(~F.col("grp").isin([*sure]))
     if not exact.isEmpty():
-        placed = exact.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "grp", F.coalesce("component", "rep").alias("c"), "unit")
+        placed = exact.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.col("grp").alias("pool"), F.coalesce("component", "rep").alias("c"), "unit")
         ties = settle(new_links(placed))
         if not ties.isEmpty():
             comps = settle(components(links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(ties)))
         counted = pool_counts(exact.select("rep", F.col("grp").alias("pool"), "label", "unit", "copies"))
         found = settle(found.join(exact.select("rep"), "rep", "left_anti").union(counted))
 
+    known = F.create_map(*[F.lit(x) for g, r in sure.items() for x in (g, float(r))])[F.col("grp")] if sure else F.lit(None).cast("double")
     member = units.join(classes, key).select(F.col("vec_id").alias("id"), "rep", "copies").dropDuplicates(["id"])
-    linked = member.join(found, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select("id", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    linked = member.join(reps.select("rep", known.alias("recall")), "rep").join(found, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select("id", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"), "recall")
     out = given.select("vec_id").join(linked, F.col("vec_id") == F.col("id"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "vec_id").alias("class_id"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "vec_id").alias("class_id"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"), "recall")
 
 
 def op6_embedding_links(spark, sf_dir):

@@ -198,6 +198,33 @@ def test_embedding_links_the_search_misses_are_found_exactly(spark, monkeypatch)
     assert [got[i].component_id for i, _, _ in rows] == [rows[component[k]][0] for k in range(len(rows))]
 
 
+def test_lists_are_enlarged_before_anything_is_compared_in_full(spark, monkeypatch):
+    """Groups of 25 fill lists of 10 and 20 but not of 40: NN-descent alone counts their links."""
+    monkeypatch.setattr(nndescent, "audit", lambda reps, found, pools: {r.grp: 0.99 for r in reps.select("grp").distinct().collect()})
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(12):
+        centre = rng.standard_normal(32)
+        rows += [(len(rows) + k, (centre + rng.standard_normal(32) * 0.03).tolist(), 1) for k in range(25)]
+    full = []
+    monkeypatch.setattr(nndescent, "pool_counts", lambda members, f=nndescent.pool_counts: (full.append(members.count()), f(members))[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    n, component = brute_links(rows)
+    got = {r.vec_id: r for r in nndescent.near_duplicates(df).collect()}
+    assert min(n) == 24 and sum(full) == 0
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(n) and all(got[k].component_id == component[k] for k in got)
+    assert {r.recall for r in got.values()} == {0.99}
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], "b"), (1, [0.0, 1.0], "a"), (2, [0.0, 1.0], "a"), (3, [1.0, 0.0], "b")]
+    seen = set()
+    for n in (1, 4):
+        got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(n)).collect()
+        seen.add(tuple(sorted((r.vec_id, r.n_links, r.component_id) for r in got)))
+    assert seen == {((1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3))}
+
+
 def test_embedding_links_empty_and_repeated(spark):
     schema = "vec_id long, embedding array<float>, label string"
     assert nndescent.near_duplicates(spark.createDataFrame([], schema)).count() == 0
