@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: the session's own setting, else a new folder (tests)."""
+    """The shared folder for written intermediates: the session's own setting. Only a local session may do without: it gets a new folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="gridloom-"))
     return sc.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
@@ -43,11 +51,30 @@ def settle(df: DataFrame) -> DataFrame:
     would grow through repeated joins.
     """
     spark = df.sparkSession
+    let_workers_import(spark)
     path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Tables settled inside are deleted at the end, but for those that the DataFrames told to the yielded function read. After an error all stay."""
+    outer, kept = list(_written), []
+    _written.clear()
+    try:
+        yield lambda df: kept.append(df) or df
+        if _written:
+            needed = {m for df in kept for f in df.inputFiles() for m in re.findall(r"settled-[0-9a-f]{32}", f)}
+            conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+            for path in [p for p in _written if p.rpartition("/")[2] not in needed]:
+                path_of(path).getFileSystem(conf).delete(path_of(path), True)
+                _written.remove(path)
+    finally:
+        _written[:0] = outer
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_REGEX, settle, table
+from gridloom.llm.common import WORD_REGEX, settle, table, tidy
 from gridloom.llm.components import components, in_blocks
 from gridloom.llm.textcodes import mix, word_batches
 
@@ -233,47 +233,48 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="d
 
     ``class`` and ``component`` name the set and all that it reaches; null for rows that are linked with nothing.
     """
-    base = settle(describe(docs, k, id_col=id_col, text_col=text_col).withColumn("class", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("d1", "d2", "n_shingles"))))
-    classes = settle(base.where("class IS NOT NULL").groupBy(F.col("class").alias("rep"), "d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id")))
-    sigs = settle(base.select("class", "doc_id", "sig").join(classes.select("rep", "doc_id"), ["doc_id"]).where("class = rep").select("rep", "sig").dropDuplicates(["rep"]))
-
-    width = 4 * SIZE // BANDS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))).alias("key")))
-    rows = sigs.select("rep", F.explode(band).alias("at")).select("rep", "at.band", "at.key")
-    ends = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = settle(rows.join(ends, "key"))
-    first = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    alike = settle(likely(first, sigs, percent))
-
-    ids = members.select("rep").distinct()
-    sets = settle(full_sets(docs, classes.join(ids, "rep", "left_semi"), k, id_col=id_col, text_col=text_col))
-    # the likeliest partner of each member, ties to the one with the least hash
-    best = alike.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("p"), "same").select("p.*", "same")
-    best = best.groupBy("u").agg(F.max_by("v", F.col("same").cast("long") * (1 << 32) - F.pmod(F.xxhash64("v"), F.lit(1 << 31))).alias("v"))
-    tree = best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    links = settle(confirmed(tree, sets, percent))
-    comps = settle(components(links))
-    links = settle(links.union(confirmed(across(alike, comps), sets, percent)))
-    comps = settle(components(links))
-
-    # what is left: pairs of one bucket in different components
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "n")
-    open_rows = settle(placed.join(split, "key"))
-    small = open_rows.where(F.col("n") <= LARGE)
-    left, right = (small.select("key", F.col("rep").alias(end), F.col("c").alias(f"c_{end}")) for end in "ab")
-    cross = left.join(right, "key").where("a < b AND c_a != c_b").select("a", "b").distinct()
-    late = confirmed(likely(cross.join(first, ["a", "b"], "left_anti"), sigs, percent), sets, percent)
-    large = open_rows.where(F.col("n") > LARGE).join(classes.select("rep", "n_shingles"), "rep").select("rep", F.col("key").alias("pool"), "band", "c", "n_shingles")
-    late = settle(late.union(met_in_blocks(large, sigs, sets, percent)))
-    if not late.isEmpty():
-        comps = settle(components(links.union(late)))
-
-    placed = classes.join(comps, F.col("rep") == F.col("node"), "left").select("rep", F.col("doc_id").alias("class_id"), F.coalesce("component", "rep").alias("component"))
-    least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = base.drop("sig").join(placed.join(least, "component"), F.col("class") == F.col("rep"), "left")
-    component_id = F.coalesce("component_id", "doc_id")
-    return named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"), "class", "component", "text_hash")
+    with tidy(docs.sparkSession) as keep:
+        base = settle(describe(docs, k, id_col=id_col, text_col=text_col).withColumn("class", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("d1", "d2", "n_shingles"))))
+        classes = settle(base.where("class IS NOT NULL").groupBy(F.col("class").alias("rep"), "d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id")))
+        sigs = settle(base.select("class", "doc_id", "sig").join(classes.select("rep", "doc_id"), ["doc_id"]).where("class = rep").select("rep", "sig").dropDuplicates(["rep"]))
+
+        width = 4 * SIZE // BANDS
+        band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))).alias("key")))
+        rows = sigs.select("rep", F.explode(band).alias("at")).select("rep", "at.band", "at.key")
+        ends = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+        members = settle(rows.join(ends, "key"))
+        first = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
+        alike = settle(likely(first, sigs, percent))
+
+        ids = members.select("rep").distinct()
+        sets = settle(full_sets(docs, classes.join(ids, "rep", "left_semi"), k, id_col=id_col, text_col=text_col))
+        # the likeliest partner of each member, ties to the one with the least hash
+        best = alike.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("p"), "same").select("p.*", "same")
+        best = best.groupBy("u").agg(F.max_by("v", F.col("same").cast("long") * (1 << 32) - F.pmod(F.xxhash64("v"), F.lit(1 << 31))).alias("v"))
+        tree = best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        links = settle(confirmed(tree, sets, percent))
+        comps = components(links)
+        links = settle(links.union(confirmed(across(alike, comps), sets, percent)))
+        comps = components(links)
+
+        # what is left: pairs of one bucket in different components
+        placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
+        split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "n")
+        open_rows = settle(placed.join(split, "key"))
+        small = open_rows.where(F.col("n") <= LARGE)
+        left, right = (small.select("key", F.col("rep").alias(end), F.col("c").alias(f"c_{end}")) for end in "ab")
+        cross = left.join(right, "key").where("a < b AND c_a != c_b").select("a", "b").distinct()
+        late = confirmed(likely(cross.join(first, ["a", "b"], "left_anti"), sigs, percent), sets, percent)
+        large = open_rows.where(F.col("n") > LARGE).join(classes.select("rep", "n_shingles"), "rep").select("rep", F.col("key").alias("pool"), "band", "c", "n_shingles")
+        late = settle(late.union(met_in_blocks(large, sigs, sets, percent)))
+        if not late.isEmpty():
+            comps = components(links.union(late))
+
+        placed = classes.join(comps, F.col("rep") == F.col("node"), "left").select("rep", F.col("doc_id").alias("class_id"), F.coalesce("component", "rep").alias("component"))
+        least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
+        named = base.drop("sig").join(placed.join(least, "component"), F.col("class") == F.col("rep"), "left")
+        component_id = F.coalesce("component_id", "doc_id")
+        return keep(named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"), "class", "component", "text_hash"))
 
 
 def deduplicated(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settle, table
+from gridloom.llm.common import settle, table, tidy
 from gridloom.llm.components import components, in_blocks
 
 THRESHOLD = 0.98
@@ -172,10 +172,10 @@ def enlarge(edges: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linked_components(links: DataFrame) -> DataFrame:
     """Components of the links: first those of each vector's best, then the links that still join two."""
     best = nearest(links).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    found = settle(components(best))
+    found = components(best)
     at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     rest = settle(links.join(at("u"), "u").join(at("v"), "v").where("cu != cv").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    return found if rest.isEmpty() else settle(components(best.union(rest)))
+    return found if rest.isEmpty() else components(best.union(rest))
 
 
 def pool_counts(members: DataFrame) -> DataFrame:
@@ -265,51 +265,52 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
 
     ``recall`` is what the audit measured for the row's label; null where the label was compared in full.
     """
-    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
-    units = settle(unit_vectors(given).withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit("second"), "unit")}))
-    key = ["label", "dim", "h1", "h2"]
-    own = units.groupBy(F.col("vec_id").alias("id")).agg(F.min(F.struct(*key)).alias("own"))
-    units = settle(units.join(own, (F.col("vec_id") == F.col("id")) & (F.struct(*key) == F.col("own"))).drop("id", "own"))
-    classes = settle(units.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    firsts = units.select("vec_id", *key, "unit").dropDuplicates(["vec_id", *key])
-    reps = settle(firsts.join(classes, [*key]).where("vec_id = rep").select("rep", "label", "dim", "unit", "copies"))
-    group = reps.groupBy("label", "dim").agg(F.min("rep").alias("grp"), F.count(F.lit(1)).alias("size"))
-    reps = settle(reps.join(group, ["label", "dim"]).withColumn("bits", F.least(F.lit(40), F.greatest(F.lit(2), F.ceil(F.log2("size")))).cast("int")))
-    bits = reps.agg(F.max("bits")).first()[0] or 2
-
-    edges, more = None, 0
-    while True:
-        pairs = hyperplane_pairs(reps, bits, range(more * TABLES, (more + 1) * TABLES))
-        fresh = settle(scored(pairs, reps))
-        edges = refine(fresh if edges is None else settle(edges.union(fresh).dropDuplicates(["u", "v"])), reps)
-        edges, full = enlarge(edges, reps)
-        links = settle(edges.where(F.col("cos") >= THRESHOLD - SLACK))
-        comps = linked_components(links)
-        pools = settle(comps.join(comps.join(full, F.col("node") == F.col("rep")).select(F.col("component").alias("pool")).distinct(), F.col("component") == F.col("pool")).select(F.col("node").alias("rep"), "pool"))
-        counted = pool_counts(reps.join(pools, "rep"))
-        few = both_ways(links).select("u", "v").distinct().join(reps.select(F.col("rep").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("n")).select(F.col("u").alias("rep"), "n")
-        found = settle(few.join(pools, "rep", "left_anti").union(counted))
-        more += 1
-        recall = audit(reps, found, pools)
-        poor = [g for g, r in recall.items() if r is not None and r < RECALL]
-        if more == PASSES or not poor:
-            break
-
-    sure = {g: r for g, r in recall.items() if r is not None and r >= RECALL}
-    exact = reps.where(~F.col("grp").isin([*sure]))
-    if not exact.isEmpty():
-        placed = exact.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.col("grp").alias("pool"), F.coalesce("component", "rep").alias("c"), "unit")
-        ties = settle(new_links(placed))
-        if not ties.isEmpty():
-            comps = settle(components(links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(ties)))
-        counted = pool_counts(exact.select("rep", F.col("grp").alias("pool"), "label", "unit", "copies"))
-        found = settle(found.join(exact.select("rep"), "rep", "left_anti").union(counted))
-
-    known = F.create_map(*[F.lit(x) for g, r in sure.items() for x in (g, float(r))])[F.col("grp")] if sure else F.lit(None).cast("double")
-    member = units.join(classes, key).select(F.col("vec_id").alias("id"), "rep", "copies").dropDuplicates(["id"])
-    linked = member.join(reps.select("rep", known.alias("recall")), "rep").join(found, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select("id", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"), "recall")
-    out = given.select("vec_id").join(linked, F.col("vec_id") == F.col("id"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "vec_id").alias("class_id"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"), "recall")
+    with tidy(vectors.sparkSession) as keep:
+        given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
+        units = settle(unit_vectors(given).withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit("second"), "unit")}))
+        key = ["label", "dim", "h1", "h2"]
+        own = units.groupBy(F.col("vec_id").alias("id")).agg(F.min(F.struct(*key)).alias("own"))
+        units = settle(units.join(own, (F.col("vec_id") == F.col("id")) & (F.struct(*key) == F.col("own"))).drop("id", "own"))
+        classes = settle(units.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+        firsts = units.select("vec_id", *key, "unit").dropDuplicates(["vec_id", *key])
+        reps = settle(firsts.join(classes, [*key]).where("vec_id = rep").select("rep", "label", "dim", "unit", "copies"))
+        group = reps.groupBy("label", "dim").agg(F.min("rep").alias("grp"), F.count(F.lit(1)).alias("size"))
+        reps = settle(reps.join(group, ["label", "dim"]).withColumn("bits", F.least(F.lit(40), F.greatest(F.lit(2), F.ceil(F.log2("size")))).cast("int")))
+        bits = reps.agg(F.max("bits")).first()[0] or 2
+
+        edges, more = None, 0
+        while True:
+            pairs = hyperplane_pairs(reps, bits, range(more * TABLES, (more + 1) * TABLES))
+            fresh = settle(scored(pairs, reps))
+            edges = refine(fresh if edges is None else settle(edges.union(fresh).dropDuplicates(["u", "v"])), reps)
+            edges, full = enlarge(edges, reps)
+            links = settle(edges.where(F.col("cos") >= THRESHOLD - SLACK))
+            comps = linked_components(links)
+            pools = settle(comps.join(comps.join(full, F.col("node") == F.col("rep")).select(F.col("component").alias("pool")).distinct(), F.col("component") == F.col("pool")).select(F.col("node").alias("rep"), "pool"))
+            counted = pool_counts(reps.join(pools, "rep"))
+            few = both_ways(links).select("u", "v").distinct().join(reps.select(F.col("rep").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("n")).select(F.col("u").alias("rep"), "n")
+            found = settle(few.join(pools, "rep", "left_anti").union(counted))
+            more += 1
+            recall = audit(reps, found, pools)
+            poor = [g for g, r in recall.items() if r is not None and r < RECALL]
+            if more == PASSES or not poor:
+                break
+
+        sure = {g: r for g, r in recall.items() if r is not None and r >= RECALL}
+        exact = reps.where(~F.col("grp").isin([*sure]))
+        if not exact.isEmpty():
+            placed = exact.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.col("grp").alias("pool"), F.coalesce("component", "rep").alias("c"), "unit")
+            ties = settle(new_links(placed))
+            if not ties.isEmpty():
+                comps = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(ties))
+            counted = pool_counts(exact.select("rep", F.col("grp").alias("pool"), "label", "unit", "copies"))
+            found = settle(found.join(exact.select("rep"), "rep", "left_anti").union(counted))
+
+        known = F.create_map(*[F.lit(x) for g, r in sure.items() for x in (g, float(r))])[F.col("grp")] if sure else F.lit(None).cast("double")
+        member = units.join(classes, key).select(F.col("vec_id").alias("id"), "rep", "copies").dropDuplicates(["id"])
+        linked = member.join(reps.select("rep", known.alias("recall")), "rep").join(found, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select("id", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"), "recall")
+        out = given.select("vec_id").join(linked, F.col("vec_id") == F.col("id"), "left")
+        return keep(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "vec_id").alias("class_id"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"), "recall"))
 
 
 def op6_embedding_links(spark, sf_dir):
