@@ -2,9 +2,10 @@
 
 Only 16-byte hashes of line keys travel, with document id and position. They are
 range-partitioned by hash and sorted inside each partition by hash, document and position,
-and a running window streams the first document of every key. What comes back is a sparse
-bitmap per document: for each 64 lines that lose any, a word whose 1 bits are the lines to
-keep (words that keep everything are left out), so texts are never shuffled to decide.
+and a running window streams the first document of every key. What comes back is a bitmap
+per document that loses lines: an array of 64-bit words whose 1 bits are the lines to keep,
+cut after the last word that loses any, so texts are never shuffled to decide. Bitmaps of
+up to ``BROADCAST_BYTES`` together are broadcast to the texts; more are joined by id.
 
 A key that occurs in a third of all lines would fill one range. Keys with more than
 1/1024 of all lines are therefore found first (at most 1024 of them exist, so their list
@@ -14,8 +15,8 @@ rows are spread over salts in the range order.
 Cases: a null or empty text is one empty line; lines whose key has fewer than
 ``min_chars`` code points always stay; copies of a key inside its first document all stay;
 repeated rows of one id count as one document in the bitmap; rows with a null id neither
-lose lines nor hold a first occurrence. An empty table gives an empty
-result. Keys are compared by two 64-bit hashes.
+lose lines nor hold a first occurrence; columns of the input named as the new counts stay,
+and the counts get an underscore more. An empty table gives an empty result. Keys are compared by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BLANKS, ascii_lower, partitions, settle, table
+from gridloom.llm.common import BLANKS, ascii_lower, partitions, settle, table, tidy
 
 HOT_SHARE = 1024
 SALTS = 256
+BROADCAST_BYTES = 32 << 20
 
 
 def lines_of(text: Column) -> Column:
@@ -38,7 +40,7 @@ def line_key(line: Column) -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars: int = 10) -> DataFrame:
-    """``(doc_id, n_dropped, keep map<long, long>)`` of the documents that lose lines."""
+    """``(doc_id, n_dropped, keep array<long>)`` of the documents that lose lines."""
     spark = docs.sparkSession
     named = docs.where(F.col(id_col).isNotNull())
     lines = named.select(F.col(id_col).alias("doc_id"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
@@ -55,29 +57,36 @@ def keep_bitmaps(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars
     lost = ranged.withColumn("first", first).where(F.col("doc_id") > F.col("first"))
 
     words = lost.groupBy("doc_id", F.shiftright("pos", 6).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("drop"))
-    return words.groupBy("doc_id").agg(
-        F.sum(F.bit_count("drop")).cast("long").alias("n_dropped"),
-        F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("drop").alias("keep")))).alias("keep"),
-    )
+    entries = words.groupBy("doc_id").agg(F.sum(F.bit_count("drop")).cast("long").alias("n_dropped"), F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("drop").alias("keep")))).alias("entries"))
+    before = F.slice(F.concat(F.array(F.lit(-1).cast("long")), F.transform("entries", lambda e: e["word"])), F.lit(1), F.size("entries"))
+    dense = F.flatten(F.zip_with("entries", before, lambda e, last: F.concat(F.array_repeat(F.lit(-1).cast("long"), (e["word"] - last - 1).cast("int")), F.array(e["keep"]))))
+    return entries.select("doc_id", "n_dropped", dense.alias("keep"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with its text cut down to the lines that the bitmaps keep, and ``n_lines``, ``n_dropped``."""
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("n_dropped").alias("__dropped"), F.col("keep").alias("__keep"))
+    size = bitmaps.agg(F.sum(F.size("keep") * 8 + 32)).first()[0] or 0
+    names = {n: n + "_" * next(k for k in range(len(docs.columns) + 1) if n + "_" * k not in docs.columns) for n in ("n_lines", "n_dropped")}
     lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda _, i: F.coalesce(F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", F.element_at("__keep", F.shiftright(i, 6).cast("long")), i % 64)) == 1, F.lit(True)))
+    kept = F.filter(lines, lambda _, i: F.coalesce(F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", F.get("__keep", F.shiftright(i, 6)), i % 64)) == 1, F.lit(True)))
     return (
-        docs.join(marks, F.col(id_col) == F.col("__id"), "left")
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce("__dropped", F.lit(0)).cast("long"))
+        docs.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, F.col(id_col) == F.col("__id"), "left")
+        .withColumn(names["n_lines"], F.size(lines).cast("long"))
+        .withColumn(names["n_dropped"], F.coalesce("__dropped", F.lit(0)).cast("long"))
         .withColumn(text_col, F.when(F.col("__keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")))
         .drop("__id", "__dropped", "__keep")
     )
 
 
+def deduplicated(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars: int = 10) -> DataFrame:
+    """``docs`` without the lines that an earlier document has, and ``n_lines``, ``n_dropped``."""
+    with tidy(docs.sparkSession) as keep:
+        return keep(apply_bitmaps(docs, settle(keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)), id_col=id_col, text_col=text_col))
+
+
 def op3_line_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = apply_bitmaps(docs, keep_bitmaps(docs))
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
