@@ -8,8 +8,8 @@ stretch of the sum crosses.
 Two choices make it hold for any skew and any rerun:
 
 * The order goes by size first, so that the words taken differ from the target by about
-  one document, not by a random walk. It is cut into segments (band of sizes, salt of the
-  id); the sum is made inside each segment and over the few segments of a source, so a
+  one document, not by a random walk. It is cut into segments (band of sizes, hash of the
+  id, of the text where it is null); the sum is made inside each segment and over the few segments of a source, so a
   source with a third of all rows never meets in one task.
 * Expected copies are integers in units of 2**-26, so the sums are exact and do not depend
   on partitioning.
@@ -36,13 +36,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
 
 
+def _hex(text: Column, digits: int) -> Column:
+    """The first so many hexadecimal digits of the text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """``(source, source_size)`` to ``(source, source_size, target)``: shares of the total by weight, each at most ``cap`` times its source.
 
     Sharing the excess again until no target is above its cap ends where
     ``target = min(cap * size, level * weight)`` adds up to the total. With the sources in
     order of ``cap * size / weight`` the level comes from two running sums. The table has
-    one row per source.
+    one row per source, and one task sorts them: sources are names of collections, not of pages.
     """
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
@@ -67,12 +72,12 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     """One row per document: ``doc_id, size, source, source_size, target, copies, taken``."""
     size = F.col("size")
     bits = F.length(F.bin(size)) - 1
-    base = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
-    base = base.withColumn("band", bits * 8 + F.expr("shiftright(size * 8, length(bin(size)) - 1)") % 8).withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)))
+    base = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (_hex(F.coalesce(F.col(id_col).cast("long").cast("string"), text_col, F.lit("")), 4) % SALTS).alias("salt")))
+    base = base.withColumn("band", bits * 8 + F.expr("shiftright(size * 8, length(bin(size)) - 1)") % 8)
     segments = settle(base.groupBy("source", "band", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
     targets = source_targets(segments.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))), 1, 6), 16, 10).cast("long")
+    draw = _hex(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), 6)
     targets = targets.withColumn("step", F.floor(rate * (1 << UNIT_BITS) + 0.5).cast("long")).withColumn("offset", draw * (1 << (UNIT_BITS - 24)))
     along = Window.partitionBy("source").orderBy("band", "salt").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -102,10 +107,10 @@ def op2_mixing(spark, sf_dir):
 
 SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0)::bigint AS size FROM documents),
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0)::bigint AS size FROM documents),
 keyed AS (
   SELECT *, (length(bin(size)) - 1) * 8 + ((size * 8) >> (length(bin(size)) - 1)::bigint) % 8 AS band,
-    ((doc_id % 64) + 64) % 64 AS salt FROM base),
+    ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 4))::bigint % 64 AS salt FROM base),
 sources AS (SELECT source, sum(size)::bigint AS source_size FROM base GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sources),
 weighed AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM ranked),

@@ -120,3 +120,39 @@ def test_null_ids(spark):
     got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df)).collect()}
     assert got == {None: (0, rows[0][1]), 2: (0, rows[0][1]), 4: (1, "")}
     assert mixing.emit(df, mixing.mix(df)).count() > 0
+
+
+def test_bitmaps_of_long_documents(spark):
+    """Words of the bitmap that lose nothing lie between, before and after those that do."""
+    rng = random.Random(5)
+    common = [f"a common line {k}" for k in range(40)]
+    own = lambda d, n: [f"line {k} of document {d}" for k in range(n)]
+    rows = [(0, "\n".join(common))]
+    for d, n in ((1, 700), (2, 64), (3, 65), (4, 3000), (5, 63)):
+        lines = own(d, n)
+        for k in rng.sample(range(n), 9) + [n - 1]:
+            lines[k] = rng.choice(common)
+        rows.append((d, "\n".join(lines)))
+    rows.append((6, "\n".join(common)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
+    for d, text in rows:
+        left = [x for x in text.split("\n") if d == 0 or x not in common]
+        assert got[d].text == "\n".join(left) and got[d].n_lines == text.count("\n") + 1 and got[d].n_dropped == text.count("\n") + 1 - len(left)
+    words = {r.doc_id: len(r.keep) for r in line_dedup.keep_bitmaps(docs).collect()}
+    assert words[4] == 47 and words[2] == 1 and words[3] == 2
+
+
+def test_line_counts_beside_columns_of_their_name(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one long line here", 7, "x"), (2, "one long line here\nb", 8, "y")], "doc_id long, text string, n_lines int, n_dropped string")
+    for limit in (0, 1 << 20):  # joined by id and by broadcast
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
+        out = line_dedup.deduplicated(docs)
+        assert out.columns == ["doc_id", "text", "n_lines", "n_dropped", "n_lines_", "n_dropped_"]
+        assert sorted(map(tuple, out.collect())) == [(1, "one long line here", 7, "x", 1, 0), (2, "b", 8, "y", 2, 1)]
+
+
+def test_mixing_segments_do_not_follow_the_ids(spark):
+    rows = [(64 * k, f"w {k}", "s", *"xxxx") for k in range(600)] + [(None, f"v {k}", "s", *"xxxx") for k in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA))
+    assert got.count() == 1200 and got.agg(F.sum("taken")).first()[0] == 2400
