@@ -4,8 +4,10 @@ A benchmark item is cut into windows of two sizes: up to ``WINDOW`` characters,
 by half, and ``SHORT`` characters, one every ``STRIDE``; a document leaks an item if it holds
 a window within ``edits(window)`` edits. So every verbatim passage of ``SHORT + STRIDE - 1``
 (74) characters of an item is found wherever it begins, and items of ``MIN_CHARS`` to
-``WINDOW`` characters are looked for whole as well. Texts are compared in a plain
-form: lower case, anything but letters and digits a single blank.
+``WINDOW`` characters are looked for whole as well. Shorter items, down to the ``Q``
+characters that the filter needs, are looked for as phrases: exact, with the ends of words
+at their own. Texts are compared in a plain form: lower case, anything but letters and
+digits a single blank.
 
 * A window of m characters within e edits of a stretch of text shares at least
   ``m + 1 - q - q * e`` of its q-grams with it (the q-gram lemma), all on diagonals (place
@@ -14,12 +16,14 @@ form: lower case, anything but letters and digits a single blank.
   one band.
 * Stretches of a band that reach the bound are verified by alignment inside the band.
 
-The q-gram index of the benchmark is what executors get. It is built for blocks of items of
-at most ``BLOCK_CHARS`` characters; a larger benchmark takes several scans of the documents.
+The q-gram index of the benchmark is what executors get. It is built for blocks of items
+whose index takes about ``INDEX_BYTES``; a larger benchmark takes several scans of the
+documents.
 
-Cases: null and empty texts leak nothing; items whose plain form is shorter than
-``MIN_CHARS`` are not looked for, null items neither; repeated rows are answered each. An
-empty documents or benchmark table gives an empty result. Texts are read whole.
+Cases: null and empty texts leak nothing; an item whose plain form is shorter than ``Q``
+characters (a word or two, which clean texts hold) is not looked for, a null item neither;
+repeated rows are answered each. An empty documents or benchmark table gives an empty
+result. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -38,9 +42,9 @@ WINDOW = 120
 SHORT, STRIDE = 60, 15
 MIN_CHARS = 40
 EDIT_SHARE = 0.08
-BLOCK_CHARS = 2_500_000
+#: Of the index of a block of items, and of what a character of an item adds to it.
+INDEX_BYTES, BYTES_A_CHAR = 128 << 20, 64
 SLICE_CHARS = 1 << 20
-_FILTER_BITS = 22
 _COUNT_BITS = 20
 _END = np.uint32(0xFFFFFFFF)  # after each text
 _alnum: list[np.ndarray] = []
@@ -102,6 +106,7 @@ class Index:
     items: list[int]
     windows: list[str]
     item_of: np.ndarray
+    phrase: np.ndarray  # whether a window is a short item, to be found as it is
     bound: np.ndarray  # shared q-grams that a window needs
     budget: np.ndarray
     distinct: np.ndarray  # q-grams in order; where their entries begin, how many there are
@@ -110,6 +115,7 @@ class Index:
     window: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    shift: np.uint64  # of a q-gram to its place in the filter
 
 
 def build_index(items: list[tuple[int, str]]) -> Index | None:
@@ -117,7 +123,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     for k, (i, text) in enumerate(items):
         ids.append(i)
         own = plain(text)
-        if len(own) >= MIN_CHARS:
+        if len(own) >= Q:
             for w in windows_of(own):
                 windows.append(w)
                 item_of.append(k)
@@ -128,11 +134,13 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     flat = np.concatenate(grams)
     order = np.argsort(flat, kind="stable")
     distinct, count = np.unique(flat, return_counts=True)
-    window, place = np.repeat(np.arange(len(windows)), n), np.concatenate([np.arange(x) for x in n])
-    budget = np.array([edits(len(w)) for w in windows])
-    bits = np.zeros(1 << _FILTER_BITS, bool)
-    bits[(flat >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(ids, windows, np.array(item_of), np.maximum(n - Q * budget, 1), budget, distinct, np.cumsum(count) - count, count, window[order], place[order], bits)
+    window, place = np.repeat(np.arange(len(windows), dtype=np.int32), n), np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+    phrase = np.array([len(w) < MIN_CHARS for w in windows])
+    budget = np.array([0 if short else edits(len(w)) for w, short in zip(windows, phrase)])
+    shift = np.uint64(64 - min(25, max(16, len(distinct).bit_length() + 3)))  # at most about an eighth of the filter is set
+    bits = np.zeros(1 << (64 - int(shift)), bool)
+    bits[(distinct >> shift).astype(np.int64)] = True
+    return Index(ids, windows, np.array(item_of), phrase, np.maximum(n - Q * budget, 1), budget, distinct, (np.cumsum(count) - count).astype(np.int32), count.astype(np.int32), window[order], place[order], bits, shift)
 
 
 def banded_distance(pattern: np.ndarray, text: np.ndarray, diagonal: int, width: int, limit: int) -> int:
@@ -158,7 +166,10 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, diagonal: int, width:
 
 
 def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int]]:
-    """``(text number, item number, place in the plain text, edits)`` of the best verified window of each leaked item."""
+    """``(text number, item number, place, edits)`` of the best verified window of each leaked item.
+
+    ``place``: where the band that holds the match begins in the plain text; the match begins at most ``edits(WINDOW)`` characters on.
+    """
     found: dict[tuple[int, int], tuple[int, int]] = {}
     first = 0
     while first < len(texts):
@@ -174,15 +185,15 @@ def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int
 def _find(texts: list[str | None], first: int, index: Index, found: dict) -> None:
     codes, bounds = plain_codes(texts)
     grams = _qgrams(codes)
-    at = np.flatnonzero(index.filter[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+    at = np.flatnonzero(index.filter[(grams >> index.shift).astype(np.int64)])
     if not len(at):
         return
     slot = np.minimum(np.searchsorted(index.distinct, grams[at]), len(index.distinct) - 1)
     real = index.distinct[slot] == grams[at]
     at, slot = at[real], slot[real]
-    low, n = index.first[slot], index.count[slot]
+    low, n = index.first[slot].astype(np.int64), index.count[slot].astype(np.int64)
     hit = np.repeat(low + n - np.cumsum(n), n) + np.arange(n.sum())
-    place, window = np.repeat(at, n), index.window[hit]
+    place, window = np.repeat(at, n), index.window[hit].astype(np.int64)
     if not len(hit):
         return
     diagonal = place - index.place[hit]
@@ -209,6 +220,11 @@ def _find(texts: list[str | None], first: int, index: Index, found: dict) -> Non
         best = found.get(name)
         if best is not None and best[0] == 0:
             continue
+        if index.phrase[w]:
+            after = start + len(pattern)
+            if start >= begin and np.array_equal(codes[start:after], pattern) and (start == begin or codes[start - 1] == 32) and codes[after] in (32, _END):
+                found[name] = (0, start - begin)
+            continue
         # e diagonals more on either side, where an alignment in the band may go
         e = banded_distance(pattern, codes[begin : bounds[d] - 1], start - begin - budget, 4 * budget + 2, budget)
         if e <= budget and (best is None or (e, start - begin) < best):
@@ -223,7 +239,7 @@ def _distinct_pairs(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([key[new], place[new]], 1)
 
 
-def benchmark_blocks(benchmark: DataFrame, *, id_col="item_id", text_col="text", limit: int = BLOCK_CHARS):
+def benchmark_blocks(benchmark: DataFrame, *, id_col="item_id", text_col="text", limit: int = INDEX_BYTES // BYTES_A_CHAR):
     """The items in lists of at most ``limit`` characters (or one item), read from the driver one partition at a time."""
     block, size = [], 0
     for row in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():

@@ -261,7 +261,7 @@ def test_decontamination_against_full_alignment(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(k, prose(rng.randrange(12, 60)) + ("." if k % 2 else "")) for k in range(12)]
+    items = [(k, prose(rng.randrange(12, 60)) + ("." if k % 2 else "")) for k in range(12)] + [(20, "Kalo, mnop bd"), (21, "hgf edcba abcdefgh klmnop")]
     index = decontaminate.build_index(items)
     docs = []
     for k in range(90):
@@ -269,13 +269,14 @@ def test_decontamination_against_full_alignment(spark):
         if k % 3:
             body += " " + damage(rng, rng.choice(items)[1].upper() if k % 2 else rng.choice(items)[1].replace(" ", " ,\n"), rng.choice([0, 2, 5, 9, 14])) + " " + prose(20)
         docs.append((k, body))
+    docs += [(200, prose(30) + " kalo mnop BD. " + prose(9)), (201, "kalo mnop bd"), (202, prose(9) + " xkalo mnop bd " + prose(9)), (203, prose(9) + " kalo mnop bdx"), (204, "hgf -- edcba abcdefgh klmnop " + prose(5))]
     want = set()
     for k, text in docs:
         own = decontaminate.plain(text)
         for w, item in zip(index.windows, index.item_of):
-            if semi_global(w, own) <= decontaminate.edits(len(w)):
+            if f" {w} " in f" {own} " if len(w) < decontaminate.MIN_CHARS else semi_global(w, own) <= decontaminate.edits(len(w)):
                 want.add((k, items[item][0]))
-    assert 20 < len(want) < 70
+    assert 20 < len(want) < 75 and {(200, 20), (201, 20), (204, 21)} == {w for w in want if w[0] >= 200}
     odd = [(500, ""), (501, None), (502, "x" * 300_000), (503, "\n" * 999), (504, items[0][1][:30])]
     benchmark = spark.createDataFrame([*items, (90, None), (91, ""), (92, "too short")], "item_id long, text string")
     given = frame(spark, docs + odd + [(1, docs[1][1])]).repartition(3)
