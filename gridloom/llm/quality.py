@@ -7,6 +7,9 @@ a bounded sample of labelled documents (``TRAIN_DOCS``). Executors get that proj
 the labelled vectors; every document is compared with all of them by exact products in
 blocks, and its ``NEIGHBOURS`` nearest vote with their similarity.
 
+A document of the sample is among its own neighbours, as ids are no input of a score: scores
+of ids that labels were learned from are not held-out ones.
+
 Cases: null and empty texts have a zero vector and get the share of label 1 among all
 labelled vectors, as do texts unlike all; without labelled documents every score is 0.
 Repeated rows are scored each. An empty table gives an empty result.
@@ -54,14 +57,14 @@ def _shapes(words) -> np.ndarray:
     return mix(sums * down[turn[words.begin]])
 
 
-def term_counts(words) -> np.ndarray:
-    """Counts of terms, ``len(words) x DIMS``."""
+def term_counts(words, shapes: np.ndarray) -> np.ndarray:
+    """Counts of terms, ``len(words) x DIMS``. ``shapes``: those of the words."""
     n = len(words)
     if not len(words.hashes):
         return np.zeros((n, DIMS), np.float32)
     doc = words.doc_of()
     at = doc * DIMS + (words.hashes % np.uint64(WORD_DIMS)).astype(np.int64)
-    shape = doc * DIMS + WORD_DIMS + (_shapes(words) % np.uint64(SHAPE_DIMS)).astype(np.int64)
+    shape = doc * DIMS + WORD_DIMS + (shapes % np.uint64(SHAPE_DIMS)).astype(np.int64)
     out = np.bincount(np.concatenate([at, shape]), minlength=n * DIMS).reshape(n, DIMS).astype(np.float32)
     size = np.diff(words.start)
     pair = np.unique(words.hashes ^ mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
@@ -77,8 +80,10 @@ def term_counts(words) -> np.ndarray:
 def _blocks(texts: list, limit: int = BLOCK_DOCS):
     """``(first, counts)`` of a few hundred texts at a time."""
     for words in word_batches(texts):
+        shapes = _shapes(words) if len(words.hashes) else words.hashes
         for k in range(0, len(words), limit):
-            yield words.first + k, term_counts(_part(words, k, min(k + limit, len(words))))
+            part = _part(words, k, min(k + limit, len(words)))
+            yield words.first + k, term_counts(part, shapes[words.start[k] : words.start[k] + len(part.hashes)])
 
 
 def _part(words, a: int, b: int):
