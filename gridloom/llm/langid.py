@@ -10,10 +10,12 @@ those too large to win (a fit is at most 0, each word being measured against its
 
 All training documents are counted in their tasks (one sparse table per task and language
 is sent on, and summed by Spark); the model has ``languages x 2**BITS`` entries and is what
-the executors get.
+the executors get. Up to ``MODEL_CELLS`` they are broadcast as they are; with more languages
+than that allows, grams share buckets (half as many for each doubling).
 
 Cases: a null text or one without a letter is ``und`` with score 0; null languages are not
-learned; without any training text every text is ``und``. Texts are read whole. Repeated
+learned; without any training text every text is ``und``. Rows with a null id are answered, not
+learned, and their ``held_out`` is null. Texts are read whole. Repeated
 rows are answered each. An empty table gives an empty result.
 """
 
@@ -30,6 +32,7 @@ from gridloom.llm.common import crc_mod, table
 from gridloom.llm.textcodes import _BLANK, _LOWER, Words, word_batches
 
 BITS = 16
+MODEL_CELLS = 1 << 26
 SMOOTH = 0.1
 PENALTY = 4.0
 ROUNDS, SET_ROUNDS = 8, 8
@@ -37,12 +40,12 @@ UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 
-def _grams(words: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(words: Words, pick: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte 4-grams of some words with a blank on either side, and where each word's begin."""
     b = np.frombuffer(b" " + words.data + b"   ", np.uint8)
     b = np.where(_BLANK[b], 32, _LOWER[b]).astype(np.uint32)
     code = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-    bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     begin, n = words.begin[pick], np.maximum(words.end[pick] - words.begin[pick] - 1, 1)
     start = np.cumsum(n) - n
     return bucket[np.arange(n.sum()) + np.repeat(begin - start, n)], start
@@ -55,27 +58,31 @@ def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities of gram buckets under each. ``docs``: ``(text, lang)``."""
+    docs, bits = docs.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL"), BITS
+    languages = docs.select("lang").distinct().count()
+    while bits and languages << bits > MODEL_CELLS:
+        bits -= 1
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
             frame = batch.to_pandas()
             for lang, part in frame.groupby("lang", sort=False):
-                own = tables.setdefault(lang, np.zeros(1 << BITS, np.int64))
+                own = tables.setdefault(lang, np.zeros(1 << bits, np.int64))
                 for words in word_batches(part.text.tolist()):
                     if len(words.hashes):
                         pick, _, n = _distinct(words)
-                        bucket, start = _grams(words, pick)
-                        own += np.bincount(bucket, np.repeat(n, np.diff(start, append=len(bucket))), 1 << BITS).astype(np.int64)
+                        bucket, start = _grams(words, pick, bits)
+                        own += np.bincount(bucket, np.repeat(n, np.diff(start, append=len(bucket))), 1 << bits).astype(np.int64)
         for lang, own in tables.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": own[at]}), preserve_index=False)
 
-    rows = docs.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(count, "lang string, bucket int, n long")
-    # at most languages x 2**BITS rows, a list a language
+    rows = docs.mapInArrow(count, "lang string, bucket int, n long")
+    # at most MODEL_CELLS rows, a list a language
     summed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).toPandas().sort_values("lang")
-    counts = np.zeros((len(found), 1 << BITS))
+    counts = np.zeros((len(found), 1 << bits))
     for k, (buckets, n) in enumerate(zip(found.buckets, found.n)):
         counts[k, np.asarray(buckets, int)] = n
     logp = np.log((counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * counts.shape[1]))
@@ -100,7 +107,7 @@ def infer(words: Words, logp: np.ndarray, penalty: float = PENALTY) -> np.ndarra
     if not len(words.hashes) or not k:
         return out
     pick, which, _ = _distinct(words)
-    bucket, start = _grams(words, pick)
+    bucket, start = _grams(words, pick, logp.shape[1].bit_length() - 1)
     loglike = np.stack([np.add.reduceat(row[bucket], start) for row in logp], 1)
     # against the best language, and held above e**-30 so that one odd word decides nothing
     like = np.exp(np.maximum(loglike - loglike.max(1, keepdims=True), -30)).astype(np.float32)
