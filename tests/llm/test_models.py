@@ -111,6 +111,21 @@ def test_classifiers_learn_and_take_odd_rows(spark, operator):
     assert scored.where("doc_id = 3").select("score").distinct().count() == 1
 
 
+def test_labelled_sample_is_bounded_by_rows_and_bytes(spark):
+    rows = [(i, "x" * (1000 if i % 3 else 10), None) for i in range(60)] + [(7, "another text of 7", None), (61, None, None)]
+    labels = spark.createDataFrame([(i, 1) for i in range(62)] + [(3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    every = toxicity.labelled_sample(docs, labels, "toxic", 100).collect()
+    assert sorted(r.doc_id for r in every) == [*range(60), 61]
+    assert len(toxicity.labelled_sample(docs, labels, "toxic", 20).collect()) == 20
+    seen = set()
+    for n in (1, 5):
+        some = toxicity.labelled_sample(docs.repartition(n), labels, "toxic", 100, most_bytes=15_000).collect()
+        assert 10_000 < sum(len(r.text or "") for r in some) <= 15_000
+        seen.add(tuple(sorted((r.doc_id, r.text) for r in some if r.text)))
+    assert len(seen) == 1
+
+
 def test_ftrl_against_a_plain_version():
     rng = np.random.default_rng(4)
     model = toxicity.FTRL(50, alpha=0.5, l1=0.1)
