@@ -79,8 +79,8 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def digests(shingles: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit sums over each set; 0 for empty ones."""
-    begin, padded = np.cumsum(sizes) - sizes, np.append(shingles, np.uint64(0))
-    return [np.where(sizes > 0, np.add.reduceat(mix(padded ^ np.uint64(c)), begin) if len(begin) else begin, 0).astype(np.uint64).view(np.int64) for c in (0x1234567, 0x9E3779B97F4A7C15)]
+    begin, padded = np.cumsum(np.append(0, sizes)), np.append(shingles, np.uint64(0))  # the last sum is of what stands behind all sets
+    return [np.where(sizes > 0, np.add.reduceat(mix(padded ^ np.uint64(c)), begin)[:-1], 0).astype(np.uint64).view(np.int64) for c in (0x1234567, 0x9E3779B97F4A7C15)]
 
 
 def describe(docs: DataFrame, k: int, *, id_col="doc_id", text_col="text") -> DataFrame:
