@@ -6,7 +6,7 @@
    inside a key (large ones dealt to chunks) neighbours along one more projection are paired.
 3. Rounds of neighbours-of-neighbours joins refine lists of the ``K`` nearest, of cosine
    ``FLOOR`` or more: two neighbours of one vector at cosine 0.98 are at 0.92 or more, so
-   weaker ones lead nowhere. Rounds end when no list changes.
+   weaker ones lead nowhere. Rounds end when they meet no new edge.
 4. A list whose entries are all links is saturated: it gets twice as many, and the rounds go
    on, until none is saturated or they have ``MOST_K``. The component of one that still is
    gets compared in full, block against block, which returns counts and not pairs; links
@@ -40,7 +40,7 @@ from gridloom.llm.components import components, in_blocks
 
 THRESHOLD = 0.98
 FLOOR = 0.9
-K, MOST_K = 10, 40
+K, MOST_K = 10, 20
 TABLES = 16
 CHUNK = 4096
 ROUNDS = 6
@@ -137,17 +137,15 @@ def nearest(edges: DataFrame, wide: DataFrame | None = None) -> DataFrame:
 
 
 def refine(edges: DataFrame, reps: DataFrame, wide: DataFrame | None = None) -> DataFrame:
-    """Rounds of neighbours-of-neighbours joins; all edges met."""
+    """Rounds of neighbours-of-neighbours joins until they meet no new edge, for all vectors or for those in ``wide``; all edges met."""
     for _ in range(ROUNDS):
         lists = settle(nearest(edges, wide).select("u", "v"))
-        hops = lists.join(lists.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").where("u < w").select("u", F.col("w").alias("v")).distinct()
+        own = lists if wide is None else lists.join(wide.select(F.col("rep").alias("u")), "u", "left_semi")
+        hops = own.join(lists.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").where("u != w").select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
         fresh = settle(scored(hops.join(edges.select("u", "v"), ["u", "v"], "left_anti"), reps))
         if fresh.isEmpty():
             break
-        edges = settle(edges.union(fresh))
-        changed = nearest(edges, wide).select("u", "v").join(lists, ["u", "v"], "left_anti")
-        if changed.isEmpty():
-            break
+        edges = edges.union(fresh)
     return edges
 
 
