@@ -12,9 +12,9 @@
    then those that would still join two components.
 6. Buckets whose members still lie in several components are then searched in full across
    components, by the same steps: signatures in batches, posterior pruning, full sets of the
-   survivors. Small buckets list their pairs; those of more than ``LARGE`` members are dealt
-   to blocks, and each pair of blocks is a group of its own, in which a pair of texts is
-   looked at in the first band that it shares only. Pairs inside one component cannot
+   survivors. Small buckets list their pairs; those of more than ``LARGE`` members, joined
+   into pools where they share a member so that no pair is met in every band, are met block
+   against block, from which only new links come out. Pairs inside one component cannot
    change it; so no link between components is left out for the size of its bucket.
 
 Links are ``100 * intersection >= percent * union``. Cases: null texts and texts without a
@@ -175,50 +175,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def met_in_blocks(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components ``c`` inside buckets ``(rep, pool, band, c, n_shingles)``, block against block.
+def pooled(pools: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components ``c`` inside each pool ``(rep, pool, c)``, block against block.
 
-    Signatures go to every pair of blocks; full sets only to those with survivors, once a
-    block pair. A block pair returns one link for each two components that it joins.
+    A pool's members are dealt to blocks of bounded size; each pair of blocks is a group of
+    its own, which prunes by signatures, confirms survivors on full sets and returns links
+    that join what it has not joined yet.
     """
     bounds = least_matches(percent)
-    counts = rows.groupBy("pool").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = in_blocks(rows.join(sigs.select("rep", "sig"), "rep"), counts)
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("pool", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "sig")
-
-    def survivors(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j, band = frame.i.iloc[0], frame.j.iloc[0], int(frame.band.iloc[0])
-        a, b = frame[frame.block == i], frame[frame.block == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("pool", "i", "j", "a", "b", "ca", "cb")})
-        x, y = (np.frombuffer(b"".join(s.sig), np.uint32).reshape(-1, SIZE) for s in (a, b))
-        open_pairs = a.c.to_numpy()[:, None] != b.c.to_numpy()[None, :]
-        if i == j:
-            open_pairs &= a.rep.to_numpy()[:, None] < b.rep.to_numpy()[None, :]
-        width = SIZE // BANDS
-        for before in range(band):  # met in an earlier band
-            u, v = (np.ascontiguousarray(s[:, before * width : (before + 1) * width]).view([("", np.uint64)] * (width // 2)).ravel() for s in (x, y))
-            open_pairs &= u[:, None] != v[None, :]
-        u, v = np.nonzero(open_pairs)
-        left, _ = unpruned(x, y, u, v, bounds)
-        u, v = u[left], v[left]
-        return pd.DataFrame({"pool": frame.pool.iloc[0], "i": i, "j": j, "a": a.rep.to_numpy()[u], "b": b.rep.to_numpy()[v], "ca": a.c.to_numpy()[u], "cb": b.c.to_numpy()[v]})
-
-    where = ["pool", "i", "j"]
-    pairs = settle(met.groupBy(*where).applyInPandas(survivors, "pool long, i long, j long, a long, b long, ca long, cb long"))
-    end = lambda c: pairs.select(F.col("pool").alias("of"), F.col("i").alias("x"), F.col("j").alias("y"), F.col(c).alias("rep"))
-    ends = end("a").union(end("b")).distinct()
-
-    def verify(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        held, joined, out = {r: np.frombuffer(s, np.uint64) for r, s in zip(own.rep, own.set)}, set(), []
-        for a, b, ca, cb in pairs[["a", "b", "ca", "cb"]].sort_values(["a", "b"]).itertuples(index=False):
-            if (ca, cb) not in joined and linked(held[a], held[b], percent):
-                joined |= {(ca, cb), (cb, ca)}
-                out.append((a, b))
+    full = settle(pools.join(sigs, "rep").join(sets, "rep"))
+    counts = full.groupBy("pool").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sent = in_blocks(full, counts).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c", "sig", "set")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = frame.i.iloc[0], frame.j.iloc[0]
+        a, b = frame[frame.block == i].sort_values("rep"), frame[frame.block == j].sort_values("rep")
+        out, joined = [], {}
+        if len(a) and len(b):
+            x, y = (np.frombuffer(b"".join(s.sig), np.uint32).reshape(-1, SIZE) for s in (a, b))
+            size = [np.array([len(s) // 8 for s in side.set], np.int64) for side in (a, b)]
+            open_pairs = a.c.to_numpy()[:, None] != b.c.to_numpy()[None, :]
+            open_pairs &= 100 * np.minimum(size[0][:, None], size[1][None, :]) >= percent * np.maximum(size[0][:, None], size[1][None, :])
+            u, v = np.nonzero(open_pairs)
+            left, same = unpruned(x, y, u, v, bounds)
+            order = np.argsort(-same, kind="stable")  # the likeliest first, so that most others are joined already
+            ca, cb, ra, rb = a.c.to_numpy(), b.c.to_numpy(), a.rep.to_numpy(), b.rep.to_numpy()
+            held = [[np.frombuffer(s, np.uint64) for s in side.set] for side in (a, b)]
+
+            def root(c):
+                while joined.get(c, c) != c:
+                    c = joined[c]
+                return c
+
+            for p, q in zip(u[left][order].tolist(), v[left][order].tolist()):
+                one, two = root(int(ca[p])), root(int(cb[q]))
+                if one != two and linked(held[0][p], held[1][q], percent):
+                    joined[max(one, two)] = min(one, two)
+                    out.append((int(ra[p]), int(rb[q])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return pairs.groupBy(*where).cogroup(ends.join(sets, "rep").groupBy("of", "x", "y")).applyInPandas(verify, "a long, b long")
+    return sent.groupBy("pool", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -239,8 +236,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="d
         sigs = settle(base.select("class", "doc_id", "sig").join(classes.select("rep", "doc_id"), ["doc_id"]).where("class = rep").select("rep", "sig").dropDuplicates(["rep"]))
 
         width = 4 * SIZE // BANDS
-        band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))).alias("key")))
-        rows = sigs.select("rep", F.explode(band).alias("at")).select("rep", "at.band", "at.key")
+        band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
+        rows = sigs.select("rep", F.explode(band).alias("key"))
         ends = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
         members = settle(rows.join(ends, "key"))
         first = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
@@ -258,15 +255,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="d
         comps = components(links)
 
         # what is left: pairs of one bucket in different components
-        placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("c"))
+        placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
         split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "n")
         open_rows = settle(placed.join(split, "key"))
-        small = open_rows.where(F.col("n") <= LARGE)
-        left, right = (small.select("key", F.col("rep").alias(end), F.col("c").alias(f"c_{end}")) for end in "ab")
-        cross = left.join(right, "key").where("a < b AND c_a != c_b").select("a", "b").distinct()
+        low = open_rows.where(F.col("n") > LARGE).groupBy("key").agg(F.min("rep").alias("low"))
+        pools = components(open_rows.join(low, "key").select(F.col("low").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("pool"))
+        small = open_rows.where(F.col("n") <= LARGE).join(pools, "rep", "left").select("key", "rep", "c", "pool")
+        left, right = (small.select("key", F.col("rep").alias(end), F.col("c").alias(f"c_{end}"), F.col("pool").alias(f"pool_{end}")) for end in "ab")
+        cross = left.join(right, "key").where("a < b AND c_a != c_b AND NOT coalesce(pool_a = pool_b, false)").select("a", "b").distinct()
         late = confirmed(likely(cross.join(first, ["a", "b"], "left_anti"), sigs, percent), sets, percent)
-        large = open_rows.where(F.col("n") > LARGE).join(classes.select("rep", "n_shingles"), "rep").select("rep", F.col("key").alias("pool"), "band", "c", "n_shingles")
-        late = settle(late.union(met_in_blocks(large, sigs, sets, percent)))
+        within = pools.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "pool", F.coalesce("component", "rep").alias("c"))
+        late = settle(late.union(pooled(within, sigs, sets, percent)))
         if not late.isEmpty():
             comps = components(links.union(late))
 
