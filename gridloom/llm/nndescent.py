@@ -167,15 +167,6 @@ def enlarge(edges: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, full
 
 
-def linked_components(links: DataFrame) -> DataFrame:
-    """Components of the links: first those of each vector's best, then the links that still join two."""
-    best = nearest(links).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    found = components(best)
-    at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    rest = settle(links.join(at("u"), "u").join(at("v"), "v").where("cu != cv").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    return found if rest.isEmpty() else components(best.union(rest))
-
-
 def pool_counts(members: DataFrame) -> DataFrame:
     """``(rep, n)``: copies linked with each member ``(rep, pool, label, unit, copies)`` inside its pool, its own copies left out."""
     counts = members.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -283,7 +274,7 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
             edges = refine(fresh if edges is None else settle(edges.union(fresh).dropDuplicates(["u", "v"])), reps)
             edges, full = enlarge(edges, reps)
             links = settle(edges.where(F.col("cos") >= THRESHOLD - SLACK))
-            comps = linked_components(links)
+            comps = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
             pools = settle(comps.join(comps.join(full, F.col("node") == F.col("rep")).select(F.col("component").alias("pool")).distinct(), F.col("component") == F.col("pool")).select(F.col("node").alias("rep"), "pool"))
             counted = pool_counts(reps.join(pools, "rep"))
             few = both_ways(links).select("u", "v").distinct().join(reps.select(F.col("rep").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("n")).select(F.col("u").alias("rep"), "n")
