@@ -18,13 +18,14 @@ class Shape:
     cols: int
 
 
-def _positions(row) -> None:
-    if row.n and (row.no_pos or row.first != 0 or row.last != row.n - 1 or row.distinct != row.n):
+def _positions(spark, row) -> None:
+    """Bounds, and all hashes together against those of 0 .. n - 1: no position has to be shuffled."""
+    if row.n and (row.no_pos or row.first != 0 or row.last != row.n - 1 or row.mixed != spark.range(row.n).agg(F.bit_xor(F.xxhash64("id"))).first()[0]):
         raise InvalidArtifact("pos must hold 0 .. n - 1, each once")
 
 
 def _pos_aggregates():
-    return [F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos").isNull()).alias("no_pos"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("distinct")]
+    return [F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos").isNull()).alias("no_pos"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.bit_xor(F.xxhash64(F.col("pos").cast("long"))).alias("mixed")]
 
 
 def is_double_array(kind: T.DataType) -> bool:
@@ -42,7 +43,7 @@ def check_dense(df: DataFrame) -> Shape:
         raise InvalidArtifact("a dense matrix needs at least one row and one column")
     if row.least != row.most:
         raise InvalidArtifact(f"rows have between {row.least} and {row.most} columns")
-    _positions(row)
+    _positions(df.sparkSession, row)
     return Shape(row.n, row.most)
 
 
@@ -75,5 +76,5 @@ def check_vector(df: DataFrame, column: str, *, ids: bool, nullable: bool) -> in
         raise InvalidArtifact(f"{row.nulls} elements of {column} are null")
     if row.outside:
         raise OutOfBounds(f"{row.outside} elements of {column} are not unsigned 32-bit integers")
-    _positions(row)
+    _positions(df.sparkSession, row)
     return row.n

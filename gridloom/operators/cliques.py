@@ -8,6 +8,8 @@ import math
 import numpy as np
 
 SPACING = 20.0
+# Fixed values of the third and fourth dimension: cliques to a step, steps to a turn, share of the spacing.
+PATTERN = ((1, 3, 0.8), (3, 3, 0.6))
 OUTLIER_SHARE = 0.05
 
 
@@ -34,7 +36,8 @@ def centres(k: int, dims: int, rng: np.random.Generator) -> np.ndarray:
     for c in range(k):
         out[c, : min(2, dims)] = np.array([c % side, c // side])[:dims] * SPACING
         if c < patterned:
-            out[c, 2:4] = (np.array([c % 2, c % 3]) * SPACING / 2)[: max(0, min(2, dims - 2))]
+            for d, (every, turns, share) in zip(range(2, min(dims, 4)), PATTERN):
+                out[c, d] = c // every % turns * share * SPACING
             out[c, 4:] = rng.uniform(-0.2, 0.2, max(0, dims - 4)) * SPACING
         else:
             out[c, 2:] = rng.uniform(-0.3, 0.3, max(0, dims - 2)) * SPACING

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.expressions import l2_distance, l2_norm
 
 BLOCK = 1024
+SALTS = 16
 
 
 def row_norms(df: DataFrame) -> DataFrame:
@@ -47,4 +48,7 @@ def clique_adjacency(members: DataFrame, node: str, clique: str) -> DataFrame:
     """
     a = members.select(F.col(node).cast("bigint").alias("row"), F.col(clique).alias("a"))
     b = members.select(F.col(node).cast("bigint").alias("col"), F.col(clique).alias("b"))
-    return a.join(b, F.col("a") == F.col("b")).where("row <> col").select("row", "col", F.lit(1.0).alias("value"))
+    # a large clique's rows go to many tasks, each of which gets all of its columns
+    a = a.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    b = b.withColumn("salt_b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, (F.col("a") == F.col("b")) & (F.col("salt") == F.col("salt_b"))).where("row <> col").select("row", "col", F.lit(1.0).alias("value"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.catalog import storage_format
+from gridloom.catalog import Catalog, storage_format
+from gridloom.errors import StoreError
 from gridloom.operators import dense, graph, sparse
 from gridloom.sources.files import scratch_folder
 from gridloom.sources.layout import read_dense_file, write_dense_file
@@ -168,6 +169,83 @@ def catalog_listing(spark, sf_dir):
     return store.listing().select("key", F.col("filetype").alias("kind"), "storage_format", "rows", "cols", "nnz", (F.col("size_bytes") > 0).alias("has_size"))
 
 
+def lance_file_roundtrip(spark, sf_dir):
+    path = f"{scratch_folder(spark)}/dense.lance"
+    write_dense_file(dense.encode(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id"), path)
+    return dense.long_form(read_dense_file(spark, path))
+
+
+def subcentroids_as_rows(spark, sf_dir):
+    """The local form: a list of rows, of which there are as many as sub-centroids."""
+    store = _store(spark)
+    store.save_subcentroids(_centroids(spark, sf_dir).withColumnRenamed("pos", "label"), "label")
+    rows = [(i, j, x) for i, row in enumerate(store.load_subcentroids()) for j, x in enumerate(row)]
+    return spark.createDataFrame(rows, "row bigint, col int, value double")
+
+
+def sparse_empty(spark, sf_dir):
+    store = _store(spark)
+    store.save_sparse("laplacian", _supplies(spark, sf_dir).limit(0), 5, 7)
+    entry = store.catalog().files["laplacian"]
+    return store.load_sparse("laplacian").agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(entry.rows).cast("bigint").alias("rows"), F.lit(entry.cols).cast("bigint").alias("cols"), F.lit(entry.nnz).cast("bigint").alias("nnz"))
+
+
+def store_lifecycle(spark, sf_dir):
+    """What can be seen of a store before it is seeded, after, and when it is opened again."""
+    base = scratch_folder(spark)
+    seen = [("exists before", str(Store.exists(spark, base)))]
+    store = Store(spark, base, "one")
+    store.seed(3, 2)
+    seen += [("exists after", str(Store.exists(spark, base))), ("found", ",".join(Store.find(spark, base)))]
+    store.save_vector("lambdas", spark.range(3).select("id", F.col("id").cast("double").alias("x")), "x", "id")
+    again = Store.open(spark, base)
+    seen += [("opened", again.name), ("dimensions", f"{again.catalog().nrows} x {again.catalog().ncols}"), ("keys", ",".join(sorted(again.catalog().files))), ("elements", str(again.load_vector("lambdas").count()))]
+    seen += [("path", again.path("lambdas").removeprefix(base)), ("uri", again.uri("lambdas").rpartition("/")[2]), ("uri is of base", str(again.uri("lambdas").startswith(again.base_uri))), ("scheme", str("://" in again.uri("lambdas") or again.uri("lambdas").startswith("file:")))]
+    return spark.createDataFrame(seen, "step string, value string")
+
+
+def store_errors(spark, sf_dir):
+    """Each way to go wrong, and the error that it ends in."""
+    base, store = scratch_folder(spark), _store(spark)
+    vectors = _table(spark, sf_dir, "embeddings")
+    entries = spark.createDataFrame([(0, 9, 1.0)], "row bigint, col bigint, value double")
+    ragged = spark.createDataFrame([([1.0], 0), ([1.0, 2.0], 1)], "vector array<double>, pos bigint")
+    twice = spark.createDataFrame([([1.0], 0), ([2.0], 0)], "vector array<double>, pos bigint")
+    store.save_vector("lambdas", spark.range(2).select("id", F.col("id").cast("double").alias("x")), "x", "id")
+    two = scratch_folder(spark)
+    for name in ("a", "b"):
+        Store(spark, two, name).seed(1, 1)
+    cases = {
+        "open nothing": lambda: Store.open(spark, base),
+        "open one of two": lambda: Store.open(spark, two),
+        "save before seeding": lambda: Store(spark, base, "x").save_dense("rawinput", vectors, "vec_id", vector="embedding"),
+        "load what is not there": lambda: store.load_dense("rawinput"),
+        "save again": lambda: store.save_vector("lambdas", spark.range(1).select("id", F.lit(0.5).alias("x")), "x", "id"),
+        "dense under a key of vectors": lambda: store.save_dense("lambdas", vectors, "vec_id", vector="embedding"),
+        "sparse under an unknown key": lambda: store.save_sparse("other", entries, 10, 10),
+        "kind without a key": lambda: store.load_vector("index"),
+        "a key that is a path": lambda: store.path("../x"),
+        "entries outside": lambda: store.save_sparse("adjacency", entries, 1, 9),
+        "floats as coordinates": lambda: store.save_sparse("adjacency", entries.withColumn("row", F.col("row").cast("double")), 1, 10),
+        "rows of unequal length": lambda: store.save_dense("matrix", ragged),
+        "a position twice": lambda: store.save_dense("matrix", twice),
+        "no rows": lambda: store.save_dense("matrix", ragged.limit(0)),
+        "no order": lambda: store.save_dense("matrix", vectors, vector="embedding"),
+        "a matrix beyond local memory": lambda: dense.check_local(536_870_913, 1),
+        "a file of another format": lambda: write_dense_file(dense.encode(vectors, "embedding", "vec_id"), f"{base}/x.csv"),
+        "a file that is not there": lambda: read_dense_file(spark, f"{base}/x.parquet"),
+        "not a catalog": lambda: Catalog.from_json("[]"),
+    }
+    seen = []
+    for case, act in cases.items():
+        try:
+            act()
+            seen.append((case, "none"))
+        except StoreError as e:
+            seen.append((case, type(e).__name__))
+    return spark.createDataFrame(seen, "case_name string, error string")
+
+
 QUERIES = {
     "dense_roundtrip": dense_roundtrip,
     "dense_column_major": dense_column_major,
@@ -194,6 +272,11 @@ QUERIES = {
     "cluster_assignments": _vector("cluster_assignments", "documents", "quality", "doc_id", prepare=_qualities),
     "cluster_assignments_raw": cluster_assignments_raw,
     "catalog_listing": catalog_listing,
+    "lance_file_roundtrip": lance_file_roundtrip,
+    "subcentroids_as_rows": subcentroids_as_rows,
+    "sparse_empty": sparse_empty,
+    "store_lifecycle": store_lifecycle,
+    "store_errors": store_errors,
 }
 
 _CELLS = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, unnest(range(len(embedding)))::int AS col, unnest(embedding)::double AS value FROM embeddings"
@@ -202,6 +285,23 @@ _MEANS = """
 WITH cells AS (SELECT label, unnest(range(len(embedding)))::int AS col, unnest(embedding)::double AS x FROM embeddings WHERE label IS NOT NULL),
 means AS (SELECT dense_rank() OVER (ORDER BY label) - 1 AS row, col, round(avg(x), 6) AS value FROM cells GROUP BY label, col)
 """
+_LIFECYCLE = {
+    "exists before": "False", "exists after": "True", "found": "one", "opened": "one", "dimensions": "3 x 2", "keys": "lambdas,rawinput", "elements": "3",
+    "path": "/one_lambdas.parquet", "uri": "one_lambdas.parquet", "uri is of base": "True", "scheme": "True",
+}
+_ERRORS = {
+    "open nothing": "NotInitialized", "open one of two": "AmbiguousStore", "save before seeding": "NotInitialized", "load what is not there": "NotFound",
+    "save again": "AlreadyExists", "dense under a key of vectors": "UnknownKey", "sparse under an unknown key": "UnknownKey", "kind without a key": "UnknownKey",
+    "a key that is a path": "UnknownKey", "entries outside": "OutOfBounds", "floats as coordinates": "SchemaMismatch", "rows of unequal length": "InvalidArtifact",
+    "a position twice": "InvalidArtifact", "no rows": "InvalidArtifact", "no order": "InvalidArtifact", "a matrix beyond local memory": "TooLarge",
+    "a file of another format": "UnsupportedFormat", "a file that is not there": "NotFound", "not a catalog": "CatalogError",
+}
+
+
+def _pairs(rows: dict, one: str, two: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in rows.items()) + f") AS t({one}, {two})"
+
+
 _SUPPLIES = "SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity) AS value FROM lineitem GROUP BY ALL"
 
 
@@ -210,6 +310,11 @@ def _ordered(column: str, table: str, order: str, name: str) -> str:
 
 
 SQL = {
+    "lance_file_roundtrip": _CELLS,
+    "subcentroids_as_rows": _MEANS + "SELECT row, col, value FROM means",
+    "sparse_empty": "SELECT 0::bigint AS n, 5::bigint AS rows, 7::bigint AS cols, 0::bigint AS nnz",
+    "store_lifecycle": _pairs(_LIFECYCLE, "step", "value"),
+    "store_errors": _pairs(_ERRORS, "case_name", "error"),
     "dense_roundtrip": _CELLS,
     "dense_column_major": f"SELECT col::bigint * (SELECT count(*) FROM embeddings) + row AS idx, value FROM ({_CELLS})",
     "dense_shape": "SELECT count(*) AS n_rows, max(len(embedding))::bigint AS n_cols, (count(*) * max(len(embedding)) * 8)::bigint AS n_bytes FROM embeddings",

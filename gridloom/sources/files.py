@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 
+_mutex = threading.RLock()
+
+
 class Files:
     """File operations on the file system of ``base``."""
 
@@ -42,6 +48,36 @@ class Files:
         if not self._fs.rename(self._path(source), self._path(target)):
             raise OSError(f"{source} could not be moved to {target}")
 
+    @contextmanager
+    def locked(self, path: str, patience: float = 60.0):
+        """Hold ``path``, a file that only one can create. A lock older than ``patience`` seconds is of a holder that died, and is taken over."""
+        with _mutex:
+            until = time.time() + 2 * patience
+            while not self._created(path):
+                try:
+                    age = time.time() - self._fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+                except Exception:  # gone meanwhile
+                    continue
+                if age > patience:
+                    self.delete(path)
+                elif time.time() > until:
+                    raise TimeoutError(f"{path} is held by another writer")
+                else:
+                    time.sleep(0.05)
+            try:
+                yield
+            finally:
+                self.delete(path)
+
+    def _created(self, path: str) -> bool:
+        try:
+            self._fs.create(self._path(path), False).close()
+            return True
+        except Exception:
+            if self._fs.exists(self._path(path)):
+                return False
+            raise
+
     def read_text(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
         try:
@@ -68,5 +104,8 @@ def scratch_folder(spark: SparkSession) -> str:
     """A new folder under the session's checkpoint folder, which the whole cluster shares."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="gridloom-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"

@@ -21,7 +21,9 @@ class Store:
     """Artifacts under ``base``; several stores of different names can share a folder.
 
     Data is written beside its place, moved there, and only then catalogued, so a failed
-    write leaves neither half an artifact nor an entry without one.
+    write leaves neither half an artifact nor an entry without one; what it was to replace is
+    put back. The move and the catalog's change are made under a lock file, so saves at the
+    same time all end up in the catalog.
     """
 
     def __init__(self, spark: SparkSession, base: str, name: str):
@@ -97,16 +99,28 @@ class Store:
     # --- writing and reading
 
     def _write(self, key: str, df: DataFrame, kind: str, rows: int, cols: int, nnz: int | None, overwrite: bool) -> None:
-        before, path = self.catalog(), self.path(key)
-        staged = f"{self.base}/_staged-{uuid.uuid4().hex}"
+        path, mark = self.path(key), uuid.uuid4().hex
+        staged, aside = f"{self.base}/_staged-{mark}", f"{self.base}/_replaced-{mark}"
         try:
             df.write.parquet(staged)
-            if overwrite and self._files.exists(path):
-                self._files.delete(path)
-            self._files.move(staged, path)
+            size = self._files.size(staged)
+            with self._files.locked(f"{self.catalog_path}.lock"):
+                known = self.catalog()  # as it is now: others may have saved meanwhile
+                if self._files.exists(path):
+                    if not overwrite:
+                        raise AlreadyExists(path)
+                    self._files.move(path, aside)
+                try:
+                    self._files.move(staged, path)
+                    self.save_catalog(known.with_entry(key, cat.Entry.of(self.name, key, kind, rows, cols, nnz, size)))
+                except BaseException:
+                    self._files.delete(path)
+                    if self._files.exists(aside):
+                        self._files.move(aside, path)
+                    raise
         finally:
             self._files.delete(staged)
-        self.save_catalog(before.with_entry(key, cat.Entry.of(self.name, key, kind, rows, cols, nnz, self._files.size(path))))
+        self._files.delete(aside)
 
     def _may_write(self, key: str, kind: str, overwrite: bool) -> None:
         self.catalog()

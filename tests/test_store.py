@@ -225,3 +225,50 @@ def test_names(spark, tmp_path):
 def test_subcentroids(spark, store):
     store.save_subcentroids(dense.from_numpy(spark, np.array([[1.0, 2], [3, 4]])))
     assert store.load_subcentroids() == [[1, 2], [3, 4]]
+
+
+def test_saves_at_the_same_time_all_reach_the_catalog(spark, store):
+    import threading
+
+    errors = []
+
+    def save(k):
+        try:
+            Store(spark, store.base, "t").save_vector("vector", spark.range(5).select("id", F.lit(float(k)).alias("x")), "x", "id", key=f"k{k}")
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=save, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and set(store.catalog().files) == {"rawinput", "k0", "k1", "k2"}
+    assert not [n for n in store._files.names(store.base) if n.startswith("_") or n.endswith(".lock")]
+
+
+def test_a_failed_replacement_leaves_the_old_artifact(spark, store, monkeypatch):
+    old, new = (spark.range(n).select("id", F.col("id").cast("double").alias("x")) for n in (4, 9))
+    store.save_vector("lambdas", old, "x", "id")
+    monkeypatch.setattr(store, "save_catalog", lambda catalog: (_ for _ in ()).throw(OSError("no room")))
+    with pytest.raises(OSError):
+        store.save_vector("lambdas", new, "x", "id", overwrite=True)
+    monkeypatch.undo()
+    assert store.load_vector("lambdas").count() == 4 == store.catalog().files["lambdas"].rows
+    store.save_vector("lambdas", new, "x", "id", overwrite=True)
+    assert store.load_vector("lambdas").count() == 9 == store.catalog().files["lambdas"].rows
+    assert not [n for n in store._files.names(store.base) if n.startswith("_")]
+
+
+def test_a_dead_writers_lock_is_taken_over(store):
+    lock = f"{store.base}/x.lock"
+    store._files.write_text(lock, "")
+    with store._files.locked(lock, patience=0.2):
+        assert store._files.exists(lock)
+    assert not store._files.exists(lock)
+
+
+def test_the_store_is_a_backend(store):
+    from gridloom.backend import StorageBackend
+
+    assert isinstance(store, StorageBackend) and not isinstance(object(), StorageBackend)
