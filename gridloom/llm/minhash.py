@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_REGEX, settle, table, tidy
+from gridloom.llm.common import BLANKS, settle, table, tidy
 from gridloom.llm.components import components, in_blocks
 from gridloom.llm.textcodes import mix, word_batches
 
@@ -284,9 +284,10 @@ def deduplicated(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="doc_
     found = near_duplicates(docs, k=k, percent=percent, id_col=id_col, text_col=text_col).where("class IS NOT NULL")
     chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "class", "text_hash")).alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.text_hash").alias("__text"))
     keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.xxhash64(text_col))
-    ordered = [f"`{f.name}`" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
-    one = keyed.join(chosen, ["__id", "__text"], "left_semi").groupBy("__id", "__text").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.struct(*ordered)).alias("__row")).select("__row.*")
-    alone = F.col(id_col).isNull() | ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD_REGEX)
+    columns, ordered = ([f"`{f.name}`" for f in docs.schema if every or f.dataType.typeName() not in ("map", "variant")] for every in (True, False))
+    least = F.min(F.struct(*columns)) if len(columns) == len(ordered) else F.min_by(F.struct(*columns), F.struct(*ordered))
+    one = keyed.join(chosen, ["__id", "__text"], "left_semi").groupBy("__id", "__text").agg(least.alias("__row")).select("__row.*")
+    alone = F.col(id_col).isNull() | (F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(BLANKS)) == "")
     return one.union(docs.where(alone))
 
 
