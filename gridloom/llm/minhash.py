@@ -256,10 +256,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col="d
 
         # what is left: pairs of one bucket in different components
         placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "n")
+        split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("c1 < c2").select("key", "low", "n")
         open_rows = settle(placed.join(split, "key"))
-        low = open_rows.where(F.col("n") > LARGE).groupBy("key").agg(F.min("rep").alias("low"))
-        pools = components(open_rows.join(low, "key").select(F.col("low").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("pool"))
+        pools = components(open_rows.where(F.col("n") > LARGE).select(F.col("low").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("pool"))
         small = open_rows.where(F.col("n") <= LARGE).join(pools, "rep", "left").select("key", "rep", "c", "pool")
         left, right = (small.select("key", F.col("rep").alias(end), F.col("c").alias(f"c_{end}"), F.col("pool").alias(f"pool_{end}")) for end in "ab")
         cross = left.join(right, "key").where("a < b AND c_a != c_b AND NOT coalesce(pool_a = pool_b, false)").select("a", "b").distinct()
