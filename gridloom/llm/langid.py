@@ -45,10 +45,13 @@ def _grams(words: Words, pick: np.ndarray, bits: int = BITS) -> tuple[np.ndarray
     b = np.frombuffer(b" " + words.data + b"   ", np.uint8)
     b = np.where(_BLANK[b], 32, _LOWER[b]).astype(np.uint32)
     code = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-    bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-    begin, n = words.begin[pick], np.maximum(words.end[pick] - words.begin[pick] - 1, 1)
+    begin, size = words.begin[pick], words.end[pick] - words.begin[pick]
+    n = np.maximum(size - 1, 1)
     start = np.cumsum(n) - n
-    return bucket[np.arange(n.sum()) + np.repeat(begin - start, n)], start
+    code = code[np.arange(n.sum()) + np.repeat(begin - start, n)]
+    short = start[size == 1]  # their fourth byte is not theirs
+    code[short] = code[short] & np.uint32(0xFFFFFF) | np.uint32(32 << 24)
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits), start
 
 
 def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

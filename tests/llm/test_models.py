@@ -1,5 +1,9 @@
 """The learned operators: odd rows, invented languages and labels, agreement with slow plain versions."""
 
+import collections
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +72,163 @@ def test_em_matches_a_plain_version():
         assert np.allclose(got[d], theta, atol=1e-5)
 
 
+def plain_words(text):
+    return re.findall(rb"[^ \t-\r]+", (text or "").encode().lower())
+
+
+def plain_buckets(word):
+    padded = b" " + word + b" "
+    grams = [padded[k : k + 4].ljust(4) for k in range(max(len(word) - 1, 1))]
+    return [(int.from_bytes(g, "little") * 0x9E3779B1 % 2**32) >> (32 - langid.BITS) for g in grams]
+
+
+def plain_mixture(text, logp):
+    counts = collections.Counter(plain_words(text))
+    like, total, k = {}, sum(counts.values()), len(logp)
+    for w in counts:
+        v = sum(logp[:, b].astype(float) for b in plain_buckets(w))
+        like[w] = np.exp(np.maximum(v - v.max(), -30))
+
+    def em(theta, rounds):
+        for _ in range(rounds):
+            theta = sum(n * like[w] * theta / (like[w] @ theta) for w, n in counts.items()) / total
+        return theta, sum(n * np.log(like[w] @ theta) for w, n in counts.items())
+
+    order = np.argsort(-em(np.full(k, 1 / k), langid.ROUNDS)[0], kind="stable")
+    fits = []
+    for size in range(1, k + 1):
+        start = np.zeros(k)
+        start[order[:size]] = 1 / size
+        theta, fit = em(start, langid.SET_ROUNDS)
+        fits.append((fit - langid.PENALTY * size, -size, theta))
+    return max(fits, key=lambda f: f[:2])[2]
+
+
+def test_languages_against_a_plain_version(spark, tongues):
+    """Counts of grams, likelihoods, proportions and the choice of the set, for any split of the table."""
+    rng = np.random.default_rng(9)
+    text = lambda lang, n: " ".join(w if rng.random() < 0.8 else str(rng.choice(["a", "o", "é", "I", "7"])) for w in speech(rng, tongues[lang], n).split(" "))
+    known = [(i, text(lang, 40), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 15)] + [(99, None, "xx"), (98, "", "zz"), (97, "left out", None)]
+    new = [(100 + i, text(lang, 9), None) for i, lang in enumerate(["xx", "yy", "zz"] * 6)]
+    new += [(200 + i, text("xx", 30) + " " + text("zz", 4 * i) + "\n" + text("yy", i), None) for i in range(9)]
+    new += [(250, text("xx", 30) + " " + text("zz", 25), None), (251, text("yy", 9) + " " + text("zz", 30), None)]
+    new += [(300 + k, t, None) for k, t in enumerate(ODD)] + [(100, new[0][1], None), (None, "ka lo", None)]
+    counts = np.zeros((3, 1 << langid.BITS))
+    for _, t, lang in known:
+        for w in plain_words(t) if lang else []:
+            for b in plain_buckets(w):
+                counts[["xx", "yy", "zz"].index(lang), b] += 1
+    want = np.log((counts + langid.SMOOTH) / (counts.sum(1, keepdims=True) + langid.SMOOTH * counts.shape[1]))
+    sizes = set()
+    for n in (1, 5):
+        langs, logp = langid.train(frame(spark, known).repartition(n).select("text", "lang"))
+        assert langs == ["xx", "yy", "zz"] and np.allclose(logp, want, atol=1e-5)
+        got = langid.identify(frame(spark, new).repartition(n), langs, logp).collect()
+        texts = {i: t for i, t, _ in new}
+        assert len(got) == len(new) and {r.doc_id for r in got} == set(texts)
+        for r in got:
+            t = texts[r.doc_id]
+            if not re.search(r"[^\W\d_]", t or ""):
+                assert (r.lang_pred, r.score, r.langs) == ("und", 0.0, [])
+                continue
+            theta = plain_mixture(t, want)
+            assert abs(r.score - theta.max()) < 1e-3 and (theta.max() < 0.51 or r.lang_pred == langs[theta.argmax()])
+            assert np.allclose([dict(zip(r.langs, r.shares)).get(x, 0) for x in langs], theta, atol=2e-3)
+            sizes.add(len(r.langs))
+    assert sizes == {1, 2, 3}
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """Features by name instead of by hash, one document after the other."""
+    rng = np.random.default_rng(10)
+    vocabulary = [f"w{k}" for k in range(12)]
+    rows = [(i, ", ".join(rng.choice(vocabulary, rng.integers(1, 15))).replace("w3", "W3!"), None) for i in range(250)]
+    labels = [(i, int("w3" in t.lower().split(", ")[0] or "w5, w6" in t)) for i, t, _ in rows if i % 3] + [(1, None), (None, 1), (5000, 1)]
+    rows += [(5000 + k, t, None) for k, t in enumerate(ODD)] + [(4, rows[4][1], None), (None, "w3 w5", None)]
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def features(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        return {(None, w) for w in words} | {(g, a, b) for g in toxicity.GAPS for a, b in zip(words, words[g + 1 :])}
+
+    of = {i: y for i, y in labels if i is not None and y is not None}
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in of], "doc_id long").orderBy(F.xxhash64(F.lit("order"), "doc_id")).collect()]
+    texts = {i: t for i, t, _ in rows}
+    z, n, bias, bias_n = collections.defaultdict(float), collections.defaultdict(float), 0.0, 0.0
+    weight = lambda f: 0.0 if abs(z[f]) <= toxicity.L1 else -(z[f] - np.sign(z[f]) * toxicity.L1) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    for i in order * toxicity.EPOCHS:
+        w = {f: weight(f) for f in features(texts[i])}
+        g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - of[i]
+        for f in w:
+            z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / toxicity.ALPHA * w[f]
+            n[f] += g * g
+        bias_n += g * g
+        bias -= toxicity.ALPHA / (toxicity.BETA + bias_n**0.5) * g
+    want = {i: 1 / (1 + np.exp(-(sum(map(weight, features(t))) + bias))) for i, t in texts.items()}
+    got = toxicity.score(docs.repartition(3), toxicity.train(toxicity.labelled_sample(docs, known, "toxic", 1000))).collect()
+    assert len(got) == len(rows) and max(abs(r.score - want[r.doc_id]) for r in got) < 1e-4
+    assert max(want.values()) - min(want.values()) > 0.5
+
+
+def test_quality_against_a_plain_version(spark):
+    """Terms by name, an exact decomposition, and a vote over all labelled documents."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"{w}{k}{m}" for k, (w, m) in enumerate(zip(["run", "Tree", "BIG", "x"] * 15, ["", ",", "!!", "%$", "-"] * 12))]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(5, 60))), None) for i in range(75)]
+    labels = [(i, int(rng.random() < 0.6)) for i in range(75)] + [(7, None), (None, 1)]
+    rows += [(900 + k, t, None) for k, t in enumerate(ODD)] + [(4, rows[4][1], None), (None, "run BIG", None)]
+    docs = frame(spark, rows)
+
+    def kinds(word):
+        name = lambda b: "a" if 97 <= b <= 122 or b >= 128 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else chr(b)
+        return re.sub(r"(.)\1+", r"\1", "".join(map(name, word)))
+
+    def terms(text):
+        out = np.zeros(quality.DIMS)
+        words = re.findall(rb"[^ \t-\r]+", (text or "").encode())
+        for w in words:
+            (own,), (shape,) = word_batches([w.decode()]), word_batches([kinds(w)])
+            out[int(own.hashes[0] % np.uint64(quality.WORD_DIMS))] += 1
+            out[quality.WORD_DIMS + int(quality._shapes(shape)[0] % np.uint64(quality.SHAPE_DIMS))] += 1
+        if words:
+            tally, n = quality.WORD_DIMS + quality.SHAPE_DIMS, len(words)
+            out[tally + min(int(len({w.lower() for w in words}) / n * 16), 15)] = n**0.5
+            out[tally + 16 + min(int(np.log2(n)), 15)] = 1
+        return out
+
+    every = [(i, terms(t)) for i, t, _ in rows]
+    idf = np.log((len(rows) + 1) / (sum(c > 0 for _, c in every) + 1)) + 0.1
+    idf[quality.WORD_DIMS :] *= quality.SHAPE_WEIGHT
+    unit = lambda x: x / max(np.sqrt((x * x).sum()), 1e-12)
+    weighed = [(i, unit(np.log1p(c) * idf)) for i, c in every]
+    of = {i: y for i, y in labels if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5}
+    assert quality.NEIGHBOURS < len(of) <= quality.RANK
+    known = {i: x for i, x in weighed if i in of}
+    _, _, v = np.linalg.svd(np.stack([*known.values()]), full_matrices=False)
+    vectors = {i: unit(v @ x) for i, x in known.items()}
+    want = {}
+    for i, x in weighed:
+        near = sorted(((unit(v @ x) @ y, of[j]) for j, y in vectors.items()), reverse=True)[: quality.NEIGHBOURS]
+        total = sum(max(s, 0) for s, _ in near)
+        want[i] = sum(max(s, 0) * y for s, y in near) / total if total > 1e-9 else np.mean([*of.values()])
+    got = quality.train_and_score(docs.repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 2e-3, r
+
+
+@pytest.mark.parametrize("operator", ["languages", "toxicity", "quality"])
+def test_empty_tables(spark, operator):
+    none = frame(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    if operator == "languages":
+        assert langid.identify(none, *langid.train(none)).count() == 0
+    elif operator == "toxicity":
+        assert toxicity.score(none, toxicity.train(toxicity.labelled_sample(none, labels, "toxic", 10))).count() == 0
+    else:
+        assert quality.train_and_score(none, labels).count() == 0 and quality.accepted(none, labels).count() == 0
+
+
 def test_without_anything_to_learn(spark):
     docs = frame(spark, [(k, t, None) for k, t in enumerate(ODD)])
     langs, logp = langid.train(docs.select("text", "lang"))
@@ -273,9 +434,6 @@ def test_lm_over_tables(spark):
     assert (by[600].n_words, by[600].log_likelihood, by[600].mean_log_likelihood) == (0, 0.0, None)
     assert abs(by[7].log_likelihood - by[300].log_likelihood) < 1e-6
     # against plain counts: what each word out of the vocabulary adds
-    import collections
-    import re
-
     texts = [re.findall(r"[^ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for _, t, _ in rows]
     counts = collections.Counter(w for t in texts for w in t)
     top = sorted((w for w in counts if counts[w] >= lm_score.LEAST), key=lambda w: (-counts[w], w.encode()))[: lm_score.VOCAB]
