@@ -1,14 +1,18 @@
 """Near-duplicates, embedding links, decontamination and the pipeline against brute force."""
 
+import collections
 import itertools
+import math
 import random
 import re
+import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from gridloom.llm import decontaminate, minhash, nndescent
+from gridloom.llm import decontaminate, minhash, nndescent, quality, token_blocks
 from gridloom.llm.components import components
 from gridloom.llm.textcodes import word_batches
 
@@ -326,3 +330,82 @@ def test_pipeline(spark):
     for r in sorted(out, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+
+
+def plain_targets(sizes):
+    """Shares by weight; what is above three times a source's size is shared again among the others."""
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    target, left, open_sources = {}, Fraction(sum(sizes.values())), set(sizes)
+    while open_sources:
+        level = left / sum(weight[s] for s in open_sources)
+        above = {s for s in open_sources if level * weight[s] > 3 * sizes[s]}
+        for s in above or open_sources:
+            target[s] = Fraction(3 * sizes[s]) if above else level * weight[s]
+        left -= sum(target[s] for s in above)
+        open_sources -= above or open_sources
+    return target
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Odd rows, shared ids and clashing columns; each stage's rows are told by a plain version of it."""
+    import tokenizers
+
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    item = prose(50)
+    good = [(k, prose(rng.randrange(20, 120)), rng.choice(["s", "t", None])) for k in range(60)]
+    rows = good + [(100 + k, " ".join(w.upper() + "!!$" for w in prose(40).split()), "s") for k in range(30)]
+    rows += [(200 + k, edited(rng, good[k][1].split(), k % 2), "t") for k in range(16)]
+    rows += [(300 + k, prose(30) + " " + item.upper() + " " + prose(10), "s") for k in range(4)]
+    rows += [(400, "", "s"), (401, None, "t"), (402, "x" * 100_000, "s"), (403, " \n ", None), (3, good[3][1], good[3][2]), (3, prose(40), "s"), (None, prose(30), "s")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, size long, copies string, __id long"
+    docs = spark.createDataFrame([(i, t, "en", s, 0, "x", 7, "y", 1) for i, t, s in rows], schema).repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i, _, _ in rows if i is not None and i < 130] + [(None, 1, 1), (9999, 1, None)], "doc_id long, quality int, toxic int")
+    for name, df in {"documents": docs, "labels": labels, "benchmark": spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    least = {}
+    for r in quality.train_and_score(docs, labels).collect():
+        least[r.doc_id] = min(r.score, least.get(r.doc_id, 1))
+    kept = [r for r in rows if least[r[0]] >= 0.3]
+    assert {r[0] for r in good} <= {r[0] for r in kept} and not [r for r in kept if r[0] is not None and 100 <= r[0] < 130]
+
+    sets = [plain_shingles(t, 5) if i is not None else set() for i, t, _ in kept]
+    links = [(a, b) for a, b in itertools.combinations(range(len(kept)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    groups = collections.defaultdict(list)
+    for k, c in reach(range(len(kept)), links).items():
+        groups[c].append(k)
+    assert sum(len(g) > 1 for g in groups.values()) > 5
+    kept = [kept[min(g, key=lambda k: (kept[k][0] is None, kept[k][0] or 0))] for g in groups.values()]
+
+    own = decontaminate.plain(item)
+    assert sum(own in decontaminate.plain(t or "") for _, t, _ in kept) == 4
+    kept = [r for r in kept if own not in decontaminate.plain(r[1] or "")]
+
+    sizes = collections.Counter({s: 0 for _, _, s in kept})
+    for _, t, s in kept:
+        sizes[s] += len(re.findall(r"[^ \t-\r]+", t or ""))
+    rate = {s: t / sizes[s] if sizes[s] else 0 for s, t in plain_targets(sizes).items()}
+
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    known = tokenizers.Tokenizer.from_file(token_blocks.tokenizer_path())
+    ids = {(i, t): [*known.encode(t or "", add_special_tokens=False).ids, 1] for i, t, _ in kept}
+    crc = {k: (len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for k, v in ids.items()}
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out)
+    for i, t, s in kept:
+        n = got.pop((i, *crc[i, t]), 0)
+        if i == 3:  # two texts of one id go by the most copies of one of them
+            assert n <= 3
+        else:
+            assert math.floor(rate[s]) <= n <= math.ceil(rate[s]), (i, n, float(rate[s]))
+    assert not got, got
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, schema in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
