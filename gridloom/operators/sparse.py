@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.errors import SchemaMismatch
 from gridloom.functions.expressions import must
-from gridloom.functions.ordinals import running_total
+from gridloom.functions.ordinals import running_total, with_positions
 
 
 def encode(df: DataFrame, rows: int, cols: int, nnz: int) -> DataFrame:
@@ -49,10 +49,14 @@ def indptr(df: DataFrame, rows: int) -> DataFrame:
 
 
 def csr_entries(df: DataFrame) -> DataFrame:
-    """``row, nth, col, value``: indices and data of each row in order."""
-    from pyspark.sql import Window
-
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1).select("row", "nth", "col", "value")
+    """``row, nth, col, value``: indices and data of each row in order.
+
+    Entries are placed in one order of all rows and each row's first place is taken off, so
+    that a row of any size is dealt to many tasks.
+    """
+    placed = with_positions(df, "row", "col")
+    firsts = placed.groupBy(F.col("row").alias("r")).agg(F.min("pos").alias("first"))
+    return placed.join(firsts, F.col("row") == F.col("r")).select("row", (F.col("pos") - F.col("first")).cast("int").alias("nth"), "col", "value")
 
 
 def to_csr(df: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

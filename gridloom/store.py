@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
 
@@ -15,6 +16,7 @@ from gridloom.sources.files import Files
 
 _NAME = re.compile(r"[A-Za-z0-9_-][A-Za-z0-9._-]*")
 _SUFFIX = "_metadata.json"
+log = logging.getLogger(__name__)
 
 
 class Store:
@@ -121,6 +123,7 @@ class Store:
         finally:
             self._files.delete(staged)
         self._files.delete(aside)
+        log.info("saved %s: %s, %d x %d, %d bytes", path, kind, rows, cols, size)
 
     def _may_write(self, key: str, kind: str, overwrite: bool) -> None:
         self.catalog()
