@@ -13,6 +13,7 @@ from gridloom.errors import CatalogError, UnknownKey
 
 # Kinds of artifacts with their storage form, and the keys bound to a kind.
 STORAGE_FORMAT = {"dense": "parquet rows", "sparse": "parquet triplets", "vector": "parquet column"}
+BLOCKS = "parquet blocks"  # the other form of a sparse matrix
 KIND_OF_KEY = {
     "rawinput": "dense",
     "sub_centroids": "dense",
@@ -62,8 +63,8 @@ class Entry:
     size_bytes: int | None = None
 
     @classmethod
-    def of(cls, store: str, key: str, kind: str, rows: int, cols: int, nnz: int | None = None, size_bytes: int | None = None) -> Entry:
-        return cls(artifact_name(store, key), kind, storage_format(kind), rows, cols, nnz, size_bytes)
+    def of(cls, store: str, key: str, kind: str, rows: int, cols: int, nnz: int | None = None, size_bytes: int | None = None, form: str | None = None) -> Entry:
+        return cls(artifact_name(store, key), kind, form or storage_format(kind), rows, cols, nnz, size_bytes)
 
 
 @dataclasses.dataclass(frozen=True)

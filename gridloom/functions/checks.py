@@ -52,10 +52,7 @@ def check_sparse(df: DataFrame, rows: int, cols: int) -> int:
     for name in ("row", "col"):
         if not isinstance(df.schema[name].dataType, T.IntegralType):
             raise SchemaMismatch(f"{name} must be an integer, not {df.schema[name].dataType.simpleString()}")
-    if not isinstance(df.schema["value"].dataType, T.DoubleType):
-        raise SchemaMismatch(f"value must be double, not {df.schema['value'].dataType.simpleString()}")
-    if not (0 <= rows <= ID_LIMIT and 0 <= cols <= ID_LIMIT):
-        raise OutOfBounds(f"{rows} x {cols} does not fit 32-bit coordinates")
+    _values_and_size(df, rows, cols)
     inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("row").isNull() | F.col("col").isNull() | F.col("value").isNull()).alias("nulls"), F.count_if(~inside).alias("outside")).first()
     if row.nulls:
@@ -65,6 +62,37 @@ def check_sparse(df: DataFrame, rows: int, cols: int) -> int:
     return row.n
 
 
+def check_sparse_blocks(df: DataFrame, rows: int, cols: int) -> int:
+    """``rows, cols, value``: as for triplets. The number of entries: the blocks' sizes less what lies on the diagonal."""
+    for name in ("rows", "cols"):
+        kind = df.schema[name].dataType
+        if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.IntegralType)):
+            raise SchemaMismatch(f"{name} must be an array of integers, not {kind.simpleString()}")
+    _values_and_size(df, rows, cols)
+    null = F.col("rows").isNull() | F.col("cols").isNull() | F.col("value").isNull() | F.exists("rows", lambda x: x.isNull()) | F.exists("cols", lambda x: x.isNull())
+    inside = F.forall("rows", lambda x: x.between(0, rows - 1)) & F.forall("cols", lambda x: x.between(0, cols - 1))
+    row = df.agg(F.sum(F.size("rows").cast("bigint") * F.size("cols") - _on_diagonal()).alias("n"), F.count_if(null).alias("nulls"), F.count_if(~inside).alias("outside")).first()
+    if row.nulls:
+        raise InvalidArtifact(f"{row.nulls} blocks hold a null")
+    if row.outside:
+        raise OutOfBounds(f"{row.outside} blocks lie partly outside {rows} x {cols}")
+    return row.n or 0
+
+
+def _on_diagonal():
+    """Places of a block where row and column are equal. Only lists that repeat a member are held against each other one by one."""
+    sole = (F.size(F.array_distinct("rows")) == F.size("rows")) & (F.size(F.array_distinct("cols")) == F.size("cols"))
+    each = F.aggregate("rows", F.lit(0).cast("bigint"), lambda n, r: n + F.size(F.filter("cols", lambda c: c == r)))
+    return F.when(~F.arrays_overlap("rows", "cols"), 0).when(sole, F.size(F.array_intersect("rows", "cols"))).otherwise(each)
+
+
+def _values_and_size(df: DataFrame, rows: int, cols: int) -> None:
+    if not isinstance(df.schema["value"].dataType, T.DoubleType):
+        raise SchemaMismatch(f"value must be double, not {df.schema['value'].dataType.simpleString()}")
+    if not (0 <= rows <= ID_LIMIT and 0 <= cols <= ID_LIMIT):
+        raise OutOfBounds(f"{rows} x {cols} does not fit 32-bit coordinates")
+
+
 def check_vector(df: DataFrame, column: str, *, ids: bool, nullable: bool) -> int:
     """``column, pos``: the number of elements; ids inside 32 bits unsigned."""
     kind = df.schema[column].dataType

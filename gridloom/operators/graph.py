@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.expressions import l2_distance, l2_norm
+from gridloom.functions.ordinals import with_positions
+from gridloom.operators import sparse
 
 BLOCK = 1024
-SALTS = 16
 
 
 def row_norms(df: DataFrame) -> DataFrame:
@@ -41,14 +42,22 @@ def count_far(distances: DataFrame, least: float) -> DataFrame:
     return distances.where(F.col("distance") > least).agg(F.count_distinct("i").alias("n"))
 
 
+def clique_blocks(members: DataFrame, node: str, clique: str) -> DataFrame:
+    """The cliques' adjacency in blocks ``rows, cols, value`` 1.0: up to ``BLOCK`` members against as many of the same clique.
+
+    Each member stands in one list of its clique and each list meets each, so no task holds
+    a clique, and there is a row for a million pairs of a large one.
+    """
+    known = members.select(F.col(node).cast("bigint").alias("node"), F.col(clique).alias("clique")).where("node IS NOT NULL AND clique IS NOT NULL")
+    block = F.floor(F.col("pos") / BLOCK).alias("block")
+    lists = with_positions(known, "clique", "node").groupBy("clique", block).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    a, b = (lists.select(F.col("clique").alias(c), F.col("nodes").alias(n)) for c, n in (("a", "rows"), ("b", "cols")))
+    return a.join(b, F.col("a") == F.col("b")).select("rows", "cols", F.lit(1.0).alias("value"))
+
+
 def clique_adjacency(members: DataFrame, node: str, clique: str) -> DataFrame:
     """``row, col, value`` 1.0 for each ordered pair of one clique; no diagonal, nothing for a null clique.
 
     The answer is the pairs themselves, as many as each clique's square.
     """
-    a = members.select(F.col(node).cast("bigint").alias("row"), F.col(clique).alias("a"))
-    b = members.select(F.col(node).cast("bigint").alias("col"), F.col(clique).alias("b"))
-    # a large clique's rows go to many tasks, each of which gets all of its columns
-    a = a.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    b = b.withColumn("salt_b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return a.join(b, (F.col("a") == F.col("b")) & (F.col("salt") == F.col("salt_b"))).where("row <> col").select("row", "col", F.lit(1.0).alias("value"))
+    return sparse.entries(clique_blocks(members, node, clique))

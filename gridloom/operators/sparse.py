@@ -1,4 +1,8 @@
-"""Sparse matrices: an entry a row, ``row bigint, col bigint, value double``."""
+"""Sparse matrices: an entry a row, ``row bigint, col bigint, value double``.
+
+Those of few different rows can also be kept in blocks, ``rows array<bigint>, cols array<bigint>,
+value double``: the value at each of the rows and each of the columns, except where they are equal.
+"""
 
 from __future__ import annotations
 
@@ -11,25 +15,65 @@ from gridloom.functions.expressions import must
 from gridloom.functions.ordinals import running_total, with_positions
 
 
+#: Entries of blocks that one task makes, about.
+SHARE = 1 << 23
+
+
 def encode(df: DataFrame, rows: int, cols: int, nnz: int) -> DataFrame:
     """The triplets, with the dimensions in the columns' metadata. Stored zeros are kept."""
-    about = {"rows": str(rows), "cols": str(cols), "nnz": str(nnz)}
-    return df.select(*[F.col(c).cast(t).alias(c, metadata=about) for c, t in (("row", "bigint"), ("col", "bigint"), ("value", "double"))])
+    return _encoded(df, _TRIPLETS, rows, cols, nnz)
+
+
+def encode_blocks(df: DataFrame, rows: int, cols: int, nnz: int) -> DataFrame:
+    """The blocks, with the dimensions in the columns' metadata."""
+    return _encoded(df, _BLOCKS, rows, cols, nnz)
 
 
 def decode(df: DataFrame, rows: int, cols: int, *, consolidated: bool = True) -> DataFrame:
     """Stored triplets against the catalog's dimensions; duplicates are summed."""
-    types = [(f.name, f.dataType.simpleString()) for f in df.schema]
-    if types != [("row", "bigint"), ("col", "bigint"), ("value", "double")]:
-        raise SchemaMismatch(f"a sparse matrix has row, col, value, not {df.schema.simpleString()}")
-    about = df.schema["row"].metadata
-    if about and (int(about["rows"]), int(about["cols"])) != (rows, cols):
-        raise SchemaMismatch(f"stored as {about['rows']} x {about['cols']}, catalogued as {rows} x {cols}")
+    _must_be(df, _TRIPLETS, rows, cols)
     inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
     checked = df.where(must(inside, f"entry outside {rows} x {cols}"))
     return consolidate(checked) if consolidated else checked
 
 
+def decode_blocks(df: DataFrame, rows: int, cols: int, nnz: int | None, *, consolidated: bool = True) -> DataFrame:
+    """The triplets of stored blocks, checked block by block against the catalog's dimensions; duplicates are summed."""
+    _must_be(df, _BLOCKS, rows, cols)
+    inside = F.forall("rows", lambda x: x.between(0, rows - 1)) & F.forall("cols", lambda x: x.between(0, cols - 1))
+    found = entries(df.where(must(inside, f"entry outside {rows} x {cols}")), nnz)
+    return consolidate(found) if consolidated else found
+
+
+def entries(blocks: DataFrame, nnz: int | None = None) -> DataFrame:
+    """``row, col, value`` of blocks, dealt out first so that tasks make about as many entries each."""
+    spark = blocks.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if nnz is not None:  # small matrices in fewer tasks, large ones in more
+        parts = max(1, min(-(-nnz // (SHARE // 16)), max(parts, -(-nnz // SHARE))))
+    # generated code holds all that it makes of one input row; coalesce, which leaves the parts as they are,
+    # ends it between the two explosions, so that this is a row of a block and not a block
+    lines = blocks.repartition(parts).select(F.explode("rows").alias("row"), "cols", "value").coalesce(parts)
+    return lines.select("row", F.explode("cols").alias("col"), "value").where("row <> col")
+
+
+_TRIPLETS = {"row": "bigint", "col": "bigint", "value": "double"}
+_BLOCKS = {"rows": "array<bigint>", "cols": "array<bigint>", "value": "double"}
+
+
+def _encoded(df: DataFrame, layout: dict[str, str], rows: int, cols: int, nnz: int) -> DataFrame:
+    about = {"rows": str(rows), "cols": str(cols), "nnz": str(nnz)}
+    return df.select(*[F.col(c).cast(t).alias(c, metadata=about) for c, t in layout.items()])
+
+
+def _must_be(df: DataFrame, layout: dict[str, str], rows: int, cols: int) -> None:
+    if [(f.name, f.dataType.simpleString()) for f in df.schema] != list(layout.items()):
+        raise SchemaMismatch(f"a sparse matrix has {', '.join(layout)}, not {df.schema.simpleString()}")
+    about = df.schema[0].metadata
+    if about and (int(about["rows"]), int(about["cols"])) != (rows, cols):
+        raise SchemaMismatch(f"stored as {about['rows']} x {about['cols']}, catalogued as {rows} x {cols}")
+
+
 def consolidate(df: DataFrame) -> DataFrame:
     """One entry a coordinate. Sole entries pass through as they are, so -0.0 stays -0.0."""
     total = F.when(F.count(F.lit(1)) == 1, F.any_value("value")).otherwise(F.sum("value"))

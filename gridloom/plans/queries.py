@@ -92,7 +92,7 @@ def clique_adjacency(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     n = (vectors.agg(F.max("vec_id").alias("m")).first().m or 0) + 1
     store = _store(spark)
-    store.save_sparse("adjacency", graph.clique_adjacency(vectors, "vec_id", "label"), n, n)
+    store.save_sparse_blocks("adjacency", graph.clique_blocks(vectors, "vec_id", "label"), n, n)
     return store.load_sparse("adjacency", consolidated=False)
 
 

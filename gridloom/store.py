@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom import catalog as cat
 from gridloom.errors import AlreadyExists, AmbiguousStore, CatalogError, NotFound, NotInitialized, SchemaMismatch, UnknownKey
-from gridloom.functions.checks import check_dense, check_sparse, check_vector
+from gridloom.functions.checks import check_dense, check_sparse, check_sparse_blocks, check_vector
 from gridloom.operators import dense, sparse, vectors
 from gridloom.sources.files import Files
 
@@ -100,7 +100,7 @@ class Store:
 
     # --- writing and reading
 
-    def _write(self, key: str, df: DataFrame, kind: str, rows: int, cols: int, nnz: int | None, overwrite: bool) -> None:
+    def _write(self, key: str, df: DataFrame, kind: str, rows: int, cols: int, nnz: int | None, overwrite: bool, form: str | None = None) -> None:
         path, mark = self.path(key), uuid.uuid4().hex
         staged, aside = f"{self.base}/_staged-{mark}", f"{self.base}/_replaced-{mark}"
         try:
@@ -114,7 +114,7 @@ class Store:
                     self._files.move(path, aside)
                 try:
                     self._files.move(staged, path)
-                    self.save_catalog(known.with_entry(key, cat.Entry.of(self.name, key, kind, rows, cols, nnz, size)))
+                    self.save_catalog(known.with_entry(key, cat.Entry.of(self.name, key, kind, rows, cols, nnz, size, form)))
                 except BaseException:
                     self._files.delete(path)
                     if self._files.exists(aside):
@@ -158,17 +158,28 @@ class Store:
         return found
 
     def save_sparse(self, key: str, df: DataFrame, rows: int, cols: int, *, overwrite: bool = False) -> None:
+        self._may_write_sparse(key, overwrite)
+        n = check_sparse(df, rows, cols)
+        self._write(key, sparse.encode(df, rows, cols, n), "sparse", rows, cols, n, overwrite)
+
+    def save_sparse_blocks(self, key: str, df: DataFrame, rows: int, cols: int, *, overwrite: bool = False) -> None:
+        """Save a sparse matrix given as blocks (see ``operators.sparse``) in that form; ``load_sparse`` returns its entries."""
+        self._may_write_sparse(key, overwrite)
+        n = check_sparse_blocks(df, rows, cols)
+        self._write(key, sparse.encode_blocks(df, rows, cols, n), "sparse", rows, cols, n, overwrite, cat.BLOCKS)
+
+    def _may_write_sparse(self, key: str, overwrite: bool) -> None:
         if cat.kind_of(key) != "sparse":
             raise UnknownKey(f"{key!r} is {cat.kind_of(key)}, not sparse")
         self._may_write(key, "sparse", overwrite)
-        n = check_sparse(df, rows, cols)
-        self._write(key, sparse.encode(df, rows, cols, n), "sparse", rows, cols, n, overwrite)
 
     def load_sparse(self, key: str, *, consolidated: bool = True) -> DataFrame:
         """``row, col, value``; duplicates summed unless told otherwise."""
         if cat.kind_of(key) != "sparse":
             raise UnknownKey(f"{key!r} is {cat.kind_of(key)}, not sparse")
         entry = self._entry(key)
+        if entry.storage_format == cat.BLOCKS:
+            return sparse.decode_blocks(self._read(key), entry.rows, entry.cols, entry.nnz, consolidated=consolidated)
         return sparse.decode(self._read(key), entry.rows, entry.cols, consolidated=consolidated)
 
     def save_subcentroids(self, df: DataFrame, *order: str, vector: str = "vector", overwrite: bool = False) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import AlreadyExists, InvalidArtifact, NotFound, SchemaMismatch, UnsupportedFormat
 from gridloom.operators import dense, graph
 from gridloom.operators.cliques import gaussian_cliques
+from gridloom.plans import queries as plans
 from gridloom.sources.layout import read_dense_file, write_dense_file
 
 
@@ -85,6 +86,31 @@ def test_adjacency(spark):
     assert pairs == set(zip(*map(np.ndarray.tolist, np.nonzero(g.adjacency))))
 
 
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_adjacency_of_odd_members(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    rows = [(k, "ab"[k % 7 > 2]) for k in range(60)] + [(5, "a"), (6, "b"), (6, "b"), (6, "a"), (None, "a"), (70, None), (None, None), (80, "alone")]
+    got = [(r.row, r.col) for r in graph.clique_adjacency(spark.createDataFrame(rows, "node bigint, clique string"), "node", "clique").collect()]
+    assert sorted(got) == sorted((i, j) for i, a in rows for j, b in rows if None not in (i, j, a, b) and a == b and i != j)
+
+
+def test_adjacency_is_stored_in_blocks(spark, tmp_path):
+    """What the query stores grows with the blocks of a clique, not with its pairs."""
+    n = 3000
+    spark.range(n).selectExpr("id AS vec_id", "array(1f) AS embedding", "int(id % 3000 >= 2990) AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = plans.clique_adjacency(spark, str(tmp_path))
+    assert got.dtypes == [("row", "bigint"), ("col", "bigint"), ("value", "double")]
+    stored = spark.read.parquet(*got.inputFiles())
+    assert stored.count() <= 16
+    row = got.where("value = 1.0").selectExpr("count(*) AS n", "count(DISTINCT row, col) AS pairs", "count_if(row = col) AS loops", "count_if((row >= 2990) <> (col >= 2990)) AS strange").first()
+    assert tuple(row) == (2990 * 2989 + 90, 2990 * 2989 + 90, 0, 0)
+
+
+def test_adjacency_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert plans.clique_adjacency(spark, str(tmp_path)).collect() == []
+
+
 def test_no_python_and_pruned_columns(spark, tmp_path):
     df = spark.createDataFrame([([1.0, 2.0], 0, "x")], "vector array<double>, pos bigint, more string")
     df.write.parquet(str(tmp_path / "t"))

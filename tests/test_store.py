@@ -108,6 +108,37 @@ def test_empty_sparse(spark, store):
     assert got.count() == 0 and [r.indptr for r in sparse.indptr(got, 4).collect()] == [0] * 5
 
 
+def test_sparse_blocks(spark, store):
+    rows = [([0, 1, 2], [0, 1, 2], 1.0), ([0, 0], [3, 0, 2], 0.5), ([], [1], 2.0), ([4], [4], 3.0)]
+    store.save_sparse_blocks("adjacency", spark.createDataFrame(rows, "rows array<int>, cols array<bigint>, value double"), 5, 5)
+    want = [(i, j, v) for a, b, v in rows for i in a for j in b if i != j]
+    got = store.load_sparse("adjacency", consolidated=False)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.dtypes == [("row", "bigint"), ("col", "bigint"), ("value", "double")]
+    assert {(r.row, r.col): r.value for r in store.load_sparse("adjacency").collect()}[0, 2] == 2.0
+    entry = store.catalog().files["adjacency"]
+    assert (entry.filetype, entry.storage_format, entry.rows, entry.cols, entry.nnz) == ("sparse", cat.BLOCKS, 5, 5, len(want))
+    assert [r.storage_format for r in store.listing().where("key = 'adjacency'").collect()] == [cat.BLOCKS]
+
+
+def test_bad_sparse_blocks(spark, store):
+    make = lambda *rows: spark.createDataFrame(list(rows), "rows array<bigint>, cols array<bigint>, value double")
+    for row, error in ((([0, 5], [1], 1.0), OutOfBounds), (([0], [-1], 1.0), OutOfBounds), (([0, None], [1], 1.0), InvalidArtifact), ((None, [1], 1.0), InvalidArtifact), (([0], [1], None), InvalidArtifact)):
+        with pytest.raises(error):
+            store.save_sparse_blocks("adjacency", make(([1], [2], 1.0), row), 5, 5)
+    with pytest.raises(OutOfBounds):
+        store.save_sparse_blocks("adjacency", make(), 2**32 + 1, 5)
+    with pytest.raises(SchemaMismatch):
+        store.save_sparse_blocks("adjacency", make().withColumn("rows", F.array(F.lit("a"))), 5, 5)
+    with pytest.raises(UnknownKey):
+        store.save_sparse_blocks("rawinput", make(), 5, 5)
+    store.save_sparse_blocks("adjacency", make(([0], [4], 1.0)), 5, 5)
+    with pytest.raises(AlreadyExists):
+        store.save_sparse_blocks("adjacency", make(([0], [4], 1.0)), 5, 5)
+    make(([0], [5], 1.0)).write.mode("overwrite").parquet(store.path("adjacency"))
+    with pytest.raises(Exception, match="entry outside 5 x 5"):
+        store.load_sparse("adjacency").collect()
+
+
 def test_bad_sparse(spark, store):
     make = lambda *rows: spark.createDataFrame(list(rows), "row bigint, col bigint, value double")
     for rows in ([(4, 0, 1.0)], [(0, 4, 1.0)], [(-1, 0, 1.0)]):
